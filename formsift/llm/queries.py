@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from formsift.llm import chat, quality
 from formsift.llm.common import prepare, read_table
 
 
@@ -46,4 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": _pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat_formatting": chat.ORACLE,
+    "op3_quality_rules": quality.ORACLE,
+}
