@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formsift.llm import chat, quality
+from formsift.llm import chat, pages, quality
 from formsift.llm.common import prepare, read_table
 
 
@@ -50,4 +50,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE,
     "op3_quality_rules": quality.ORACLE,
+    "op4_html_extraction": pages.ORACLE,
 }
