@@ -28,7 +28,7 @@ from formsift.llm.common import prepare
 
 NONE = np.iinfo(np.int32).max
 #: Words kept with their ids in a worker, and the longest such word in bytes.
-MEMO_WORDS, MEMO_BYTES = 700_000, 64
+MEMO_WORDS, MEMO_BYTES = 600_000, 64
 #: Symbols in one flat array.
 ROUND_SYMBOLS = 2_000_000
 
@@ -40,6 +40,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
 
+def normalize(text: str) -> str:
+    """Composed and lower case, each character by itself."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text)
+    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
+
 class NumpyBpe:
     """A word-end BPE with byte letters, read from a tokenizer file."""
 
@@ -71,12 +79,6 @@ class NumpyBpe:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
 
-    def normalize(self, text: str) -> str:
-        if text.isascii():
-            return text.lower()
-        text = unicodedata.normalize("NFC", text)
-        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each word."""
         out: list[bytes] = [b""] * len(words)
@@ -146,7 +148,7 @@ class NumpyBpe:
                 if k % 2:
                     parts.append(-1 - self.special[part])
                     continue
-                for p in self.pieces.findall(self.normalize(part)):
+                for p in self.pieces.findall(normalize(part)):
                     parts.append(len(pieces))
                     pieces.append(p.encode())
             plan.append(parts)
@@ -172,18 +174,17 @@ class WordMemo:
         if self.missed > 4 * MEMO_WORDS:
             self.known, self.missed = {}, 0
         known = self.known
-        new = list({w for ws in cut for w in ws if w not in known})
+        new = list(set().union(*cut).difference(known))
         full = len(known) > MEMO_WORDS
         self.missed += full * len(new)
-        extra = {}
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
-            for w, ids in zip(part, self.encode(part), strict=True):
-                (extra if full or len(w) > MEMO_BYTES else known)[w] = ids
-        if extra:
-            return [b"".join([known[w] if w in known else extra[w] for w in ws]) for ws in cut]
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in cut]
+            known.update(zip(part, self.encode(part), strict=True))
+        out = [b"".join(map(known.__getitem__, ws)) for ws in cut]
+        for w in new:
+            if full or len(w) > MEMO_BYTES:
+                del known[w]
+        return out
 
 
 def ascii_words(text: str) -> list[bytes]:

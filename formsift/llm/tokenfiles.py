@@ -19,15 +19,17 @@ from __future__ import annotations
 
 import json
 import struct
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from formsift.llm.bpe import WordMemo, ascii_words, slices
+from formsift.llm.bpe import MEMO_BYTES, WordMemo, ascii_words, byte_letters, normalize, slices
 from formsift.llm.common import in_order, order_bounds, prepare, read_files, shared_path, write_frames
 
 BLOCK_IDS = 1 << 16
@@ -49,21 +51,39 @@ def whole(text: str) -> list[bytes]:
     return [text.encode("utf-8", "replace")]
 
 
+#: The split that byte-level files name by `use_regex` alone (a fixed pattern of that kind of tokenizer).
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def splitter(path: str):
-    """How texts may be cut without a change of ids, as far as the file shows."""
+    """How texts may be cut without a change of ids, as far as the file shows, and
+    what cuts a word further into the words of the library's model (or nothing,
+    if the word must go through all of the library's steps)."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
     special = [t["content"] for t in spec["added_tokens"]]
+    steps = pre.get("pretokenizers", [])
+    if spec["model"]["type"] != "BPE" or not all(s.startswith("<|") and not any(c.isspace() for c in s) for s in special):
+        return whole, lambda word: None
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
-        cut = space_words
-    elif pre.get("type") == "Sequence" and [p["type"] for p in pre["pretokenizers"]] == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["behavior"] == "Removed" and {"type": "Lowercase"} in (norm or {}).get("normalizers", []):
-        cut = ascii_words
+        cut, pattern, lower = space_words, BYTE_LEVEL_SPLIT, False
+    elif [p["type"] for p in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and [n["type"] for n in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
+        cut, pattern, lower = ascii_words, steps[0]["pattern"]["Regex"], True
     else:
-        return whole
-    if any(c.isspace() for s in special for c in s):
-        return whole
-    return cut
+        return whole, lambda word: None
+    split, letters = regex.compile(pattern).findall, byte_letters()
+
+    def pieces_of(word: bytes) -> list[str] | None:
+        if len(word) > MEMO_BYTES or b"<|" in word:
+            return None
+        if lower and word.isalpha() and word.islower():
+            return [word.decode()]
+        text = word.decode("utf-8")
+        pieces = split(normalize(text) if lower else text)
+        return [p if p.isascii() and p.isalpha() else "".join(map(letters.__getitem__, p.encode())) for p in pieces]
+
+    return cut, pieces_of
 
 
 _LIBRARY: dict[str, WordMemo] = {}
@@ -77,12 +97,22 @@ def library_memo(path: str) -> WordMemo:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        cut, pieces_of = splitter(path)
+        model = tokenizer.model
 
         def encode(words: list[bytes]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-            return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-        _LIBRARY[path] = WordMemo(encode, splitter(path))
+            out, rest = {}, []
+            for w in words:
+                pieces = pieces_of(w)
+                if pieces is not None:
+                    out[w] = array("I", [x.id for p in pieces for x in model.tokenize(p)]).tobytes()
+                else:
+                    rest.append(w)
+            found = tokenizer.encode_batch_fast([w.decode("utf-8") for w in rest], add_special_tokens=False)
+            out.update((w, array("I", x.ids).tobytes()) for w, x in zip(rest, found, strict=True))
+            return [out[w] for w in words]
+
+        _LIBRARY[path] = WordMemo(encode, cut)
     return _LIBRARY[path]
 
 
