@@ -56,14 +56,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def write_frames(df: DataFrame, path: str) -> None:
-    """Write the binary column `frame` of df, back to back, one file a partition.
+def write_frames(df: DataFrame, path: str, per_file: int = 0) -> None:
+    """Write the binary column `frame` of df, back to back, one file a partition
+    or, if per_file is given, each so many frames.
 
     Every frame must end in a zero byte: the text writer puts it there as its
     line separator. Spark's commit protocol keeps one copy of each file even if
     tasks are retried, and any file system that Spark can reach will do."""
     body = F.expr("CAST(substring(frame, 1, length(frame) - 1) AS STRING)").alias("value")
-    df.select(body).write.option("lineSep", "\u0000").option("compression", "none").text(path)
+    df.select(body).write.option("maxRecordsPerFile", per_file).option("lineSep", "\u0000").option("compression", "none").text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -196,7 +196,7 @@ WITH a AS (
 ), t AS (
   SELECT page_id, url, regexp_replace(regexp_replace(h, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS x FROM a
 ), d AS (
-  SELECT page_id, url, replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&') AS x FROM t
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&nbsp;?', ' ', 'g'), '&amp;?', '&', 'g') AS x FROM t
 ), r AS (
   SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM d
 )

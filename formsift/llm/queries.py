@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formsift.llm import chat, pages, quality
+from formsift.llm import chat, pages, quality, warc
 from formsift.llm.common import prepare, read_table
 
 
@@ -51,4 +51,5 @@ ORACLES: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE,
     "op3_quality_rules": quality.ORACLE,
     "op4_html_extraction": pages.ORACLE,
+    "op6_warc": warc.ORACLE,
 }
