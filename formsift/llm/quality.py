@@ -153,6 +153,16 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     return judge(stats).drop("host")
 
 
+def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+    """The documents that are kept, with all their columns.
+
+    Statistics are taken once and written with the documents, so nothing is
+    scanned twice; the table of verdicts comes to the documents."""
+    names = {f"k{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
+    stats = staged(statistics(docs, text, **names, host=F.col(f"`{host}`")), "quality")
+    return judge(stats).where("kept").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS text FROM documents
