@@ -142,19 +142,19 @@ def host_of(url: str = "url"):
 
 
 def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Add `blocks` (array of node, prior, text) in place of the html column."""
+    """`__blocks` (array of node, prior, text) in place of the html column."""
     prepare(pages.sparkSession)
-    kept = [c for c in pages.columns if c not in (html, "blocks")]
+    kept = [c for c in pages.columns if c != html]
     kind = pa.list_(pa.struct([("node", pa.string()), ("prior", pa.int32()), ("text", pa.string())]))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 found = [[{"node": a, "prior": p, "text": t} for a, p, t in blocks(h or "")] for h in part.column(part.schema.get_field_index(html)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in kept], pa.array(found, kind)], [*kept, "blocks"])
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in kept], pa.array(found, kind)], [*kept, "__blocks"])
 
     source = pages.select(*[f"`{c}`" for c in kept], html)
-    schema = source.drop(html).withColumn("blocks", F.lit(None).cast("array<struct<node:string,prior:int,text:string>>")).schema
+    schema = source.drop(html).withColumn("__blocks", F.lit(None).cast("array<struct<node:string,prior:int,text:string>>")).schema
     return source.mapInArrow(run, schema)
 
 
@@ -163,8 +163,8 @@ def importance(parsed: DataFrame, host: str = "host") -> DataFrame:
 
     Contents are counted by (host, node, text hash) before nodes are summed, both
     with sums on the map side, so that a host with very many pages meets nowhere."""
-    page = F.xxhash64("blocks")
-    seen = parsed.select(host, page.alias("page"), F.explode("blocks").alias("b")).select(host, "page", "b.node", "b.prior", F.xxhash64("b.text").alias("h")).distinct()
+    page = F.xxhash64("__blocks")
+    seen = parsed.select(host, page.alias("page"), F.explode("__blocks").alias("b")).select(host, "page", "b.node", "b.prior", F.xxhash64("b.text").alias("h")).distinct()
     counts = seen.groupBy(host, "node", "prior", "h").agg(F.count(F.lit(1)).alias("c"))
     nodes = counts.groupBy(host, "node", "prior").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
     entropy = F.when(F.col("n") > 1, 1 - F.col("clogc") / (F.col("n") * F.log("n"))).otherwise(F.lit(1.0))
@@ -178,10 +178,10 @@ def extract_main(pages: DataFrame, url: str = "url", html: str = "html", limit:
     parsed = staged(parse_pages(pages.withColumn("__host", host_of(url)), html), "blocks")
     low = importance(parsed, "__host").where(F.round("importance", 9) < limit)
     # Nodes of the tree are few beside the pages; still they only go to all tasks if Spark finds them small.
-    low = staged(low.groupBy("__host").agg(F.collect_list(F.struct("node", "prior")).alias("low")).withColumnRenamed("__host", "low_host"), "low")
-    joined = parsed.join(low, F.col("__host") == F.col("low_host"), "left")
-    keep = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains(F.col("low"), F.struct(b["node"].alias("node"), b["prior"].alias("prior"))), F.lit(False)))
-    return joined.withColumn("text", F.concat_ws(" ", F.transform(keep, lambda b: b["text"]))).drop("__host", "low_host", "low", "blocks")
+    low = staged(low.groupBy("__host").agg(F.collect_list(F.struct("node", "prior")).alias("__low")).withColumnRenamed("__host", "__low_host"), "low")
+    joined = parsed.join(low, F.col("__host") == F.col("__low_host"), "left")
+    keep = F.filter("__blocks", lambda b: ~F.coalesce(F.array_contains(F.col("__low"), F.struct(b["node"].alias("node"), b["prior"].alias("prior"))), F.lit(False)))
+    return joined.withColumn("text", F.concat_ws(" ", F.transform(keep, lambda b: b["text"]))).drop("__host", "__low_host", "__low", "__blocks")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

@@ -172,6 +172,10 @@ class Grammar:
                 self.formats[kind] = (automaton, scores[len(scores) // 50] - SLACK)
         self.background = Automaton(background or ["0"])
 
+    def like(self, word: str) -> bool:
+        """Whether a format finds the word as likely as its own."""
+        return any(a.score(word) / len(word) >= least for a, least in self.formats.values())
+
     def secret(self, word: str) -> bool:
         base = self.background.score(word)
         for automaton, least in self.formats.values():
@@ -239,10 +243,13 @@ def fit(scanned: DataFrame, most: int = MAX_LABELLED, formats: bool = True) -> G
     matches = scanned.select(F.explode("__base").alias("b")).select("b.kind", "b.value")
     for kind, *_ in BASE:
         labelled[kind] = sample(matches.where(F.col("kind") == kind).select("value"), most)
+    known: dict[str, list[str]] = defaultdict(list)
     for kind, word in published() if formats else []:
-        labelled[kind].append(word)
-    rest = scanned.select(F.explode("__candidates").alias("c")).select("c.value")
-    return Grammar(labelled, sample(rest, most))
+        known[kind].append(word)
+    rest = sample(scanned.select(F.explode("__candidates").alias("c")).select("c.value"), most)
+    # What a published format fits is no background, lest a few such tokens hide each other.
+    fits = Grammar(known, []).like
+    return Grammar(labelled | known, [w for w in rest if not fits(w)])
 
 
 SECRETS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))

@@ -213,7 +213,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     then the smallest text hash; of rows equal in both, one. All columns stay."""
     mark = F.xxhash64(text)
     prints = staged(fingerprints(docs.select(F.struct(F.col(key).alias("k"), mark.alias("h")).alias("who"), F.col(text)), "who", text), "fingerprints")
-    keepers = groups(prints, "who").select(F.col("component.k").alias("keep_k"), F.col("component.h").alias("keep_h")).distinct()
+    keepers = groups(prints, "who").select(F.col("component.k").alias("__keep_k"), F.col("component.h").alias("__keep_h")).distinct()
     marked = docs.withColumn("__h", mark)
-    hit = marked.join(keepers, F.col(key).eqNullSafe(F.col("keep_k")) & (F.col("__h") == F.col("keep_h")), "left_semi")
+    hit = marked.join(keepers, F.col(key).eqNullSafe(F.col("__keep_k")) & (F.col("__h") == F.col("__keep_h")), "left_semi")
     return hit.dropDuplicates([key, "__h"]).drop("__h")

@@ -131,7 +131,7 @@ def fingerprint_pairs(docs: DataFrame, k: int = GRAM, w: int = WINDOW, shard_byt
     at each range's first key also go to the range before, where they only serve
     as the last one's next. Null text counts as empty."""
     spark = prepare(docs.sparkSession)
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bounds = order_bounds(source, "doc_id", "text", shard_bytes)
     ends = source.agg(F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     low = None if ends["nulls"] else ends["low"]
