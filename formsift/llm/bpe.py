@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ from formsift.llm.common import prepare
 
 NONE = np.iinfo(np.int32).max
 #: Words kept with their ids in a worker, and the longest such word in bytes.
-MEMO_WORDS, MEMO_BYTES = 600_000, 64
+MEMO_WORDS, MEMO_BYTES = 800_000, 64
+HOT_WORDS = 10_000
 #: Symbols in one flat array.
 ROUND_SYMBOLS = 2_000_000
 
@@ -163,29 +165,53 @@ class NumpyBpe:
 class WordMemo:
     """Ids of whole texts from the ids of their words, each word encoded once in
     a worker. encode takes a list of byte words; split cuts a text into words
-    whose ids, joined, are the text's. The memo takes a bounded number of words;
-    once full it stays as it is, until so many words missed that it starts anew."""
+    whose ids, joined, are the text's.
+
+    The first words, mostly the frequent ones, are kept in a small table that
+    stays in the processor's cache; the large table takes a bounded number of
+    words; once full it stays as it is, until so many words missed that both
+    start anew."""
 
     def __init__(self, encode, split):
-        self.encode, self.split, self.known, self.missed = encode, split, {}, 0
+        self.encode, self.split = encode, split
+        self.hot, self.known, self.missed = {}, {}, 0
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.split(t) if t else [] for t in texts]
         if self.missed > 4 * MEMO_WORDS:
-            self.known, self.missed = {}, 0
-        known = self.known
-        new = list(set().union(*cut).difference(known))
-        full = len(known) > MEMO_WORDS
-        self.missed += full * len(new)
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            known.update(zip(part, self.encode(part), strict=True))
-        out = [b"".join(map(known.__getitem__, ws)) for ws in cut]
-        for w in new:
-            if full or len(w) > MEMO_BYTES:
-                del known[w]
+            self.hot, self.known, self.missed = {}, {}, 0
+        words = list(chain.from_iterable(cut))
+        ids = list(map(self.hot.get, words))
+        cold = [i for i, x in enumerate(ids) if x is None]
+        if cold:
+            self._fill(words, ids, cold)
+        out, at = [], 0
+        for ws in cut:
+            out.append(b"".join(ids[at : at + len(ws)]))
+            at += len(ws)
         return out
 
+    def _fill(self, words: list[bytes], ids: list[bytes | None], cold: list[int]) -> None:
+        named = [words[i] for i in cold]
+        found = list(map(self.known.get, named))
+        lost = [k for k, x in enumerate(found) if x is None]
+        if lost:
+            new = list(dict.fromkeys([named[k] for k in lost]))
+            made = {}
+            for i in range(0, len(new), 50_000):
+                part = new[i : i + 50_000]
+                made.update(zip(part, self.encode(part), strict=True))
+            for k in lost:
+                found[k] = made[named[k]]
+            if len(self.known) > MEMO_WORDS:
+                self.missed += len(new)
+            else:
+                self.known.update((w, x) for w, x in made.items() if len(w) <= MEMO_BYTES)
+                if len(self.hot) < HOT_WORDS:
+                    self.hot.update(self.known)
+        for i, x in zip(cold, found):
+            ids[i] = x
+
 
 def ascii_words(text: str) -> list[bytes]:
     """Words between ASCII white space; A-Z in lower case unless a control string may be there."""
@@ -193,7 +219,7 @@ def ascii_words(text: str) -> list[bytes]:
     return (raw if b"<|" in raw else raw.lower()).split()
 
 
-def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
 

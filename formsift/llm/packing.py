@@ -145,7 +145,7 @@ def token_pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["key", "start", "length", "doc_tokens", "ids", "part", "part_rank"])
 
-    source = df.select(key, text, F.spark_partition_id().cast("bigint").alias("part"))
+    source = df.select(F.col(key).cast("bigint"), text, F.spark_partition_id().cast("bigint").alias("part"))
     found = source.mapInArrow(run, "key bigint, start bigint, length int, doc_tokens bigint, ids binary, part bigint, part_rank bigint")
     return staged(found, "pieces")
 

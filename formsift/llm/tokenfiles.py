@@ -28,6 +28,7 @@ import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from formsift.llm.bpe import MEMO_BYTES, WordMemo, ascii_words, byte_letters, normalize, slices
 from formsift.llm.common import in_order, order_bounds, prepare, read_files, shared_path, write_frames
@@ -39,16 +40,24 @@ HEADER, TRAILER = struct.Struct("<4sIIB"), struct.Struct("<QIQIQQ4s")
 END = b"\0"
 
 
+#: Stands before a word that no space comes before; never part of UTF-8.
+FIRST = b"\xff"
+
+
 def space_words(text: str) -> list[bytes]:
-    """Cut before each space. Runs of spaces belong together, so a text with one stays whole."""
-    if "  " in text:
-        return [text.encode("utf-8", "replace")]
-    first, *rest = text.encode("utf-8", "replace").split(b" ")
-    return [*([first] if first else []), *[b" " + w for w in rest]]
+    """Cut before each space, which is left out. Runs of spaces belong together,
+    so a text with one stays whole."""
+    raw = FIRST + text.encode("utf-8", "replace")
+    return [raw] if b"  " in raw else raw.split(b" ")
 
 
 def whole(text: str) -> list[bytes]:
-    return [text.encode("utf-8", "replace")]
+    return [FIRST + text.encode("utf-8", "replace")]
+
+
+def spaced(word: bytes) -> bytes:
+    """The stretch of text that a word of space_words or whole stands for."""
+    return word[1:] if word[:1] == FIRST else b" " + word
 
 
 #: The split that byte-level files name by `use_regex` alone (a fixed pattern of that kind of tokenizer).
@@ -56,36 +65,42 @@ BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 
 
 def splitter(path: str):
-    """How texts may be cut without a change of ids, as far as the file shows, and
-    what cuts a word further into the words of the library's model (or nothing,
-    if the word must go through all of the library's steps)."""
+    """How texts may be cut without a change of ids, as far as the file shows; the
+    stretch of text that a cut stands for; and what cuts it further into the
+    words of the library's model (or nothing, if it must go through all of the
+    library's steps)."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
     special = [t["content"] for t in spec["added_tokens"]]
     steps = pre.get("pretokenizers", [])
     if spec["model"]["type"] != "BPE" or not all(s.startswith("<|") and not any(c.isspace() for c in s) for s in special):
-        return whole, lambda word: None
+        return whole, spaced, lambda word: None
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
-        cut, pattern, lower = space_words, BYTE_LEVEL_SPLIT, False
+        cut, stretch, pattern, lower, before = space_words, spaced, BYTE_LEVEL_SPLIT, False, "\u0120"
     elif [p["type"] for p in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and [n["type"] for n in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
-        cut, pattern, lower = ascii_words, steps[0]["pattern"]["Regex"], True
+        cut, stretch, pattern, lower, before = ascii_words, bytes, steps[0]["pattern"]["Regex"], True, ""
     else:
-        return whole, lambda word: None
+        return whole, spaced, lambda word: None
     split, letters = regex.compile(pattern).findall, byte_letters()
 
     def pieces_of(word: bytes) -> list[str] | None:
         if len(word) > MEMO_BYTES or b"<|" in word:
             return None
-        if lower and word.isalpha() and word.islower():
-            return [word.decode()]
-        text = word.decode("utf-8")
+        if not lower or word.islower():
+            if word.isalpha():
+                return [before + word.decode()]
+            if word[-1:] in (b",", b".") and word[:-1].isalpha():
+                return [before + word[:-1].decode(), word[-1:].decode()]
+        text = stretch(word).decode("utf-8")
         pieces = split(normalize(text) if lower else text)
         return [p if p.isascii() and p.isalpha() else "".join(map(letters.__getitem__, p.encode())) for p in pieces]
 
-    return cut, pieces_of
+    return cut, stretch, pieces_of
 
 
+#: Model words kept with their ids in a worker.
+MEMO_PIECES = 200_000
 _LIBRARY: dict[str, WordMemo] = {}
 
 
@@ -97,18 +112,26 @@ def library_memo(path: str) -> WordMemo:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        cut, pieces_of = splitter(path)
-        model = tokenizer.model
+        cut, stretch, pieces_of = splitter(path)
+        model, known = tokenizer.model, {}
+
+        def piece(p: str) -> bytes:
+            ids = known.get(p)
+            if ids is None:
+                ids = array("I", [x.id for x in model.tokenize(p)]).tobytes()
+                if len(known) < MEMO_PIECES:
+                    known[p] = ids
+            return ids
 
         def encode(words: list[bytes]) -> list[bytes]:
             out, rest = {}, []
             for w in words:
                 pieces = pieces_of(w)
                 if pieces is not None:
-                    out[w] = array("I", [x.id for p in pieces for x in model.tokenize(p)]).tobytes()
+                    out[w] = b"".join(map(piece, pieces))
                 else:
                     rest.append(w)
-            found = tokenizer.encode_batch_fast([w.decode("utf-8") for w in rest], add_special_tokens=False)
+            found = tokenizer.encode_batch_fast([stretch(w).decode("utf-8") for w in rest], add_special_tokens=False)
             out.update((w, array("I", x.ids).tobytes()) for w, x in zip(rest, found, strict=True))
             return [out[w] for w in words]
 
@@ -229,7 +252,7 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, key: str = "doc_id",
     """Encode a text column and write its ids, end_id after each text, as shard
     files in ascending key order (ties by text)."""
     prepare(df.sparkSession)
-    source = df.select(key, text)
+    source = df.select(F.col(key).cast("bigint").alias(key), text)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
