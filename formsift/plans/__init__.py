@@ -1,0 +1 @@
+"""Compositions of operators: the extraction pipeline and the registered queries."""
