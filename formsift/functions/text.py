@@ -115,7 +115,7 @@ def quoted(x: Column) -> Column:
 def locate_span(text: Column, value: Column) -> Column:
     """(start, end) of the first place of value in text, whatever case; if there
     is none, with any white space between its words; else null."""
-    words = F.regexp_replace(quoted(squeeze(value)), " ", r"\\\\s+")
+    words = F.regexp_replace(quoted(squeeze(value)), " ", r"\\s+")
     tries = [F.concat(F.lit("(?iu)"), quoted(value)), F.concat(F.lit("(?iuU)"), words)]
 
     def place(pattern):

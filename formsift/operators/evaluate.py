@@ -55,8 +55,10 @@ def metrics(results: DataFrame, document_type: str | None = None) -> DataFrame:
     counted = sets.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.grouping("type").alias("gt"), F.grouping("document_type").alias("gd"))
     level = F.when((F.col("gt") == 1) & (F.col("gd") == 1), "overall").when(F.col("gd") == 1, "type").otherwise("document_type")
     name = F.when(level == "overall", "all").when(level == "type", F.col("type")).otherwise(F.col("document_type"))
+    lines = counted.select(level.alias("level"), name.alias("name"), "tp", "fp", "fn")
     # Of an empty input the overall line remains.
-    return counted.select(level.alias("level"), name.alias("name"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("tp", "fp", "fn")]).select("*", *rates())
+    none = results.sparkSession.range(1).select(F.lit("overall").alias("level"), F.lit("all").alias("name"), *[F.lit(0).alias(c) for c in ("tp", "fp", "fn")])
+    return lines.union(none).groupBy("level", "name").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn")]).select("*", *rates())
 
 
 def error_sample(results: DataFrame, n: int = 30, key: str = "doc_id") -> DataFrame:
