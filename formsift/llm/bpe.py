@@ -13,7 +13,12 @@ more memory than a few arrays of their length."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
+import threading
+import time
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -29,8 +34,8 @@ from formsift.llm.common import prepare
 
 NONE = np.iinfo(np.int32).max
 #: Words kept with their ids in a worker, and the longest such word in bytes.
-MEMO_WORDS, MEMO_BYTES = 800_000, 64
-HOT_WORDS = 10_000
+MEMO_WORDS, MEMO_BYTES = 700_000, 64
+HOT_WORDS, IDLE_S = 10_000, 5.0
 #: Symbols in one flat array.
 ROUND_SYMBOLS = 2_000_000
 
@@ -170,13 +175,36 @@ class WordMemo:
     The first words, mostly the frequent ones, are kept in a small table that
     stays in the processor's cache; the large table takes a bounded number of
     words; once full it stays as it is, until so many words missed that both
-    start anew."""
+    start anew. A worker that waits for work gives the tables' memory back after
+    IDLE_S seconds, so that other stages of its executor have it."""
 
-    def __init__(self, encode, split):
-        self.encode, self.split = encode, split
+    def __init__(self, encode, split, forget=lambda: None):
+        self.encode, self.split, self.forget = encode, split, forget
         self.hot, self.known, self.missed = {}, {}, 0
+        self.lock, self.watch, self.used = threading.Lock(), None, 0.0
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
+        with self.lock:
+            out = self._texts(texts)
+            self.used = time.monotonic()
+            if self.watch is None:
+                self.watch = threading.Thread(target=self._wait, daemon=True)
+                self.watch.start()
+            return out
+
+    def _wait(self) -> None:
+        while True:
+            time.sleep(1)
+            with self.lock:
+                if time.monotonic() - self.used > IDLE_S:
+                    self.hot, self.known, self.missed, self.watch = {}, {}, 0, None
+                    self.forget()
+                    break
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    def _texts(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.split(t) if t else [] for t in texts]
         if self.missed > 4 * MEMO_WORDS:
             self.hot, self.known, self.missed = {}, {}, 0

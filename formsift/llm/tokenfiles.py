@@ -135,7 +135,7 @@ def library_memo(path: str) -> WordMemo:
             out.update((w, array("I", x.ids).tobytes()) for w, x in zip(rest, found, strict=True))
             return [out[w] for w in words]
 
-        _LIBRARY[path] = WordMemo(encode, cut)
+        _LIBRARY[path] = WordMemo(encode, cut, known.clear)
     return _LIBRARY[path]
 
 
