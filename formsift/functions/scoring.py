@@ -51,8 +51,8 @@ def source_priority(e: Column) -> Column:
 
 def prefers_second(a: Column, b: Column) -> Column:
     """Whether b beats a: by quality, then priority of its source, then confidence."""
-    qa, qb, pa, pb = quality(a), quality(b), source_priority(a), source_priority(b)
-    return F.when(qa != qb, qb > qa).when(pa != pb, pb > pa).otherwise(F.coalesce(b["confidence"], F.lit(0.0)) > F.coalesce(a["confidence"], F.lit(0.0)))
+    rank = lambda e: F.struct(quality(e).alias("q"), source_priority(e).alias("p"), F.coalesce(e["confidence"], F.lit(0.0)).alias("c"))
+    return rank(b) > rank(a)
 
 
 def final_confidence(source: Column, raw: Column, valid: Column, agree: Column) -> Column:

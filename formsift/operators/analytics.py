@@ -36,27 +36,33 @@ def fallback_rate(extracted: DataFrame) -> DataFrame:
     return extracted.agg(F.count(F.lit(1)).alias("documents"), F.count_if(used).alias("fallback")).withColumn("rate", F.when(F.col("documents") == 0, 0.0).otherwise(F.col("fallback") / F.col("documents")))
 
 
-def nth_values(df: DataFrame, value: str, indexes: dict[str, int], bins: int = 100) -> dict[str, float]:
-    """Exact elements of a sorted column by index from 0, without sorting it.
-
-    Approximate quantiles cut the values into bins; the bins' counts, a bounded
-    number, tell which bin holds an element; only that bin is ranked."""
-    cuts = df.agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 10 * bins).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*map(F.lit, cuts))
-    number = F.aggregate(bounds, F.lit(0), lambda n, b: n + F.when(F.col(value) >= b, 1).otherwise(0)) if cuts else F.lit(0)
-    binned = df.withColumn("__bin", number)
-    counts = sorted((r["__bin"], r["count"]) for r in binned.groupBy("__bin").count().collect())
-    out = {}
-    for name, index in indexes.items():
-        before = 0
-        for b, n in counts:
-            if index < before + n:
+#: Rows of a value range that one task may rank.
+RANKED_ROWS = 50_000
+
+
+def nth_value(df: DataFrame, value: str, index: int, bins: int = 1024) -> float | None:
+    """The element of a sorted column at an index from 0, without sorting it.
+
+    Equal slices of the range are counted, the slice that holds the element is
+    sliced again, and so on until few rows are left or all are equal."""
+    v = F.col(value)
+    ends = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")).first()
+    lo, hi, n = ends["lo"], ends["hi"], ends["n"]
+    if not 0 <= index < n:
+        return None
+    inside = df.where(v.isNotNull())
+    while lo < hi and n > RANKED_ROWS:
+        number = F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1))
+        slices = inside.where(v.between(lo, hi)).groupBy(number.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).collect()  # bins rows at most
+        for s in sorted(slices, key=lambda s: s["b"]):
+            if index < s["n"]:
                 break
-            before += n
-        ranked = binned.where(F.col("__bin") == b).groupBy(value).count().withColumn("upto", F.sum("count").over(W.orderBy(value)))
-        out[name] = ranked.where(F.col("upto") > index - before).agg(F.min(value).alias("v")).first()["v"]
-    return out
+            index -= s["n"]
+        lo, hi, n = s["lo"], s["hi"], s["n"]
+    if lo == hi:
+        return lo
+    counts = inside.where(v.between(lo, hi)).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(W.orderBy("v")))
+    return counts.where(F.col("upto") > index).agg(F.min("v").alias("v")).first()["v"]
 
 
 def order_statistics(df: DataFrame, value: str) -> DataFrame:
@@ -65,5 +71,5 @@ def order_statistics(df: DataFrame, value: str) -> DataFrame:
     kept = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
     all_of = kept.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
     n = all_of.first()["n"]
-    found = nth_values(kept, "v", {"median": n // 2, "p95": min(n - 1, int(0.95 * n))}) if n else {"median": None, "p95": None}
+    found = {"median": nth_value(kept, "v", n // 2), "p95": nth_value(kept, "v", min(n - 1, int(0.95 * n)))}
     return all_of.select("n", "mean", *[F.lit(x).cast("double").alias(k) for k, x in found.items()])

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from formsift import vocab
-from formsift.functions.text import let, rfind
+from formsift.functions.text import let
 
 WINDOW = 120
 
@@ -28,15 +28,22 @@ def window_before(text: Column, start: Column) -> Column:
     return F.right(F.left(text, start), F.lit(WINDOW))
 
 
-def last_label(context: Column, labels: Column) -> Column:
-    """(pos, order, label) of the label that begins last; the earlier in the list if two do."""
-    found = F.transform(labels, lambda x, i: F.struct(rfind(context, x).alias("pos"), (-i).alias("order"), x.alias("label")))
-    return F.array_max(F.filter(found, lambda f: f["pos"] >= 0))
+def last_label(context: Column, backwards: Column, labels: Column) -> Column:
+    """(pos, order, label) of the label that begins last; the earlier in the list if two do.
+
+    backwards: the context reversed; labels: structs (label, reversed)."""
+
+    def place(x, i):
+        at = F.call_function("instr", backwards, x["reversed"])
+        return F.struct(F.when(at > 0, F.length(context) - at - F.length(x["label"]) + 1).alias("pos"), (-i).alias("order"), x["label"].alias("label"))
+
+    return F.array_max(F.filter(F.transform(labels, place), lambda f: f["pos"].isNotNull()))
 
 
 def _labels(table: dict[str, list[str]], kind: Column) -> Column:
-    pairs = [x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]
-    return F.coalesce(F.create_map(*pairs)[kind], F.array().cast("array<string>"))
+    one = lambda x: F.struct(F.lit(x).alias("label"), F.lit(x[::-1]).alias("reversed"))
+    pairs = [x for k, v in table.items() for x in (F.lit(k), F.array(*map(one, v)))]
+    return F.coalesce(F.create_map(*pairs)[kind], F.array().cast("array<struct<label:string,reversed:string>>"))
 
 
 CONTEXT = "struct<context_role:string,context_label:string,context_score:double,context_model:string>"
@@ -50,9 +57,11 @@ def role(kind: Column, text: Column, start: Column) -> Column:
 
     def nearest(c):
         def of(table, rank):
-            labels = _labels(table, c["kind"])
-            best = F.coalesce(last_label(c["line"], labels), last_label(c["near"], labels))
-            return F.when(best.isNotNull(), F.struct(best["pos"].alias("pos"), F.lit(rank).alias("rank"), best["label"].alias("label")))
+            def best(labels):
+                found = F.coalesce(last_label(c["line"], c["line_back"], labels), last_label(c["near"], c["near_back"], labels))
+                return let(found, lambda f: F.when(f.isNotNull(), F.struct(f["pos"].alias("pos"), F.lit(rank).alias("rank"), f["label"].alias("label"))))
+
+            return let(_labels(table, c["kind"]), best)
 
         # Of equal positions primary stands before negative, then secondary.
         all_three = F.array_compact(F.array(of(vocab.PRIMARY_LABELS, 3), of(vocab.NON_TARGET_LABELS, 2), of(vocab.SECONDARY_LABELS, 1)))
@@ -64,7 +73,8 @@ def role(kind: Column, text: Column, start: Column) -> Column:
         return let(F.array_max(all_three), named)
 
     inputs = F.struct(clean(line_before(text, start)).alias("line"), clean(window_before(text, start)).alias("near"), kind.alias("kind"))
-    return F.when(start.isNull(), unknown("none")).otherwise(let(inputs, nearest))
+    both_ways = lambda c: F.struct(c["line"].alias("line"), F.reverse(c["line"]).alias("line_back"), c["near"].alias("near"), F.reverse(c["near"]).alias("near_back"), c["kind"].alias("kind"))
+    return F.when(start.isNull(), unknown("none")).otherwise(let(let(inputs, both_ways), nearest))
 
 
 def learned_role(label: Column, probability: Column) -> Column:

@@ -30,12 +30,21 @@ def matches(text: Column, kind: str) -> Column:
 
 
 def regex_candidates(text: Column) -> Column:
-    """Candidates of all patterns by (start, end), equal spans in the patterns' order."""
-    kinds = [*vocab.PATTERNS, "DOB"]
-    keyed = [F.transform(matches(text, k), lambda c, i=i: F.struct(c["start"].alias("s"), c["end"].alias("e"), F.lit(i).alias("k"), c.alias("c"))) for i, k in enumerate(kinds)]
-    # The patterns are costly and most texts have no digit and no @.
-    some = F.coalesce(text, F.lit("")).rlike(r"(?U)[\d@]")
-    return F.when(some, F.sort_array(F.concat(*keyed))["c"]).otherwise(F.array().cast(CANDIDATES))
+    """Candidates of all patterns by (start, end), equal spans in the patterns' order.
+
+    Patterns only run on texts that have what they all need: an @, four digits
+    in a row, or a birth label."""
+    text = F.coalesce(text, F.lit(""))
+    none = F.array().cast("array<struct<s:int,e:int,k:int,c:" + CANDIDATE + ">>")
+    digits, mail, birth = text.rlike(r"(?U)\d{4}"), F.contains(text, F.lit("@")), text.rlike(r"(?iuU)dob|birth|born")
+
+    def keyed(i, kind):
+        return F.transform(matches(text, kind), lambda c: F.struct(c["start"].alias("s"), c["end"].alias("e"), F.lit(i).alias("k"), c.alias("c")))
+
+    lists = {kind: keyed(i, kind) for i, kind in enumerate([*vocab.PATTERNS, "DOB"])}
+    numbers = F.concat(*[x for kind, x in lists.items() if kind not in ("Email", "DOB")])
+    parts = [F.when(digits, numbers).otherwise(none), F.when(mail, lists["Email"]).otherwise(none), F.when(digits & birth, lists["DOB"]).otherwise(none)]
+    return F.sort_array(F.concat(*parts))["c"]
 
 
 def bio_decode(tokens: Column) -> Column:

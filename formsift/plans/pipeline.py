@@ -66,7 +66,8 @@ def extract(docs: DataFrame, text: str = "text", ner: Callable | None = None, ll
 
 def entity_rows(extracted: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row an entity, ord from 0 in document order."""
-    return extracted.select(key, F.posexplode("entities").alias("ord", "e")).select(key, "ord", "e.*")
+    # Not posexplode(): for it the optimizer adds a filter that computes all entities a second time.
+    return extracted.select(key, F.posexplode_outer("entities").alias("ord", "e")).where("ord IS NOT NULL").select(key, "ord", "e.*")
 
 
 def redact(extracted: DataFrame, text: str = "text", mask: str = "[{}]") -> DataFrame:
