@@ -82,6 +82,17 @@ def display_value(kind: Column, value: Column) -> Column:
     return F.when(k.isin("AADHAAR", "PHONE", "DRIVING_LICENCE"), tight).when(k.isin("PAN", "VOTER_ID"), F.upper(v)).when(k == "ADDRESS", F.btrim(v, F.lit(" \t\r\n,;:"))).otherwise(v)
 
 
+def normalize_entities(entities: Column) -> Column:
+    """Entities named by (type, value) or (entity, text) as (type, value,
+    confidence, source) in display form; blank ones go, gaps become 0 and "unknown"."""
+
+    def one(e):
+        kind, value = F.coalesce(e["type"], e["entity"], F.lit("")), F.coalesce(e["value"], e["text"], F.lit(""))
+        return F.struct(display_type(kind).alias("type"), display_value(kind, value).alias("value"), F.coalesce(e["confidence"], F.lit(0.0)).alias("confidence"), F.coalesce(e["source"], F.lit("unknown")).alias("source"))
+
+    return F.filter(F.transform(entities, one), lambda e: (e["type"] != "") & (e["value"] != ""))
+
+
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """Array of (value, start, end) of a pattern's matches, left to right.
 

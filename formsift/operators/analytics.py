@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from formsift.functions.scoring import badge
+
 
 def level_counts(entities: Column) -> Column:
     """(total, high, medium, low) of an array of entities."""
@@ -23,6 +25,12 @@ def batch_analytics(extracted: DataFrame, key: str = "doc_id") -> DataFrame:
     return document_analytics(extracted, key).agg(F.count(F.lit(1)).alias("documents_processed"), *sums)
 
 
+def report(extracted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A line for each entity as a report shows it: type, value, source, percent, badge, validated."""
+    lines = extracted.select(key, F.posexplode_outer("entities").alias("ord", "e")).where("ord IS NOT NULL")
+    return lines.select(key, "ord", "e.type", "e.value", "e.source", badge(F.col("e.confidence")).alias("b"), "e.validated").select(key, "ord", "type", "value", "source", "b.percent", "b.badge", "validated")
+
+
 def source_distribution(entities: DataFrame, source: str = "source") -> DataFrame:
     """Entities by source, most common first, with percents."""
     counted = entities.groupBy(source).agg(F.count(F.lit(1)).alias("n"))

@@ -93,6 +93,16 @@ def llm_candidates(text: Column, reply: Column) -> Column:
     return F.transform(llm_entities(reply), place)
 
 
+def llm_list(reply: Column) -> Column:
+    """(type, value, confidence, source) of a reply that is a JSON list of any
+    types, maybe inside other text; 0.85 where it gives no confidence."""
+    shape = "array<struct<type:string,value:string,confidence:double>>"
+    inner = F.regexp_extract(reply, r"(?s)\[.*\]", 0)
+    found = F.coalesce(F.from_json(F.when(inner != "", inner), shape), F.array().cast(shape))
+    good = F.filter(found, lambda e: (strip(F.coalesce(e["type"], F.lit(""))) != "") & (strip(F.coalesce(e["value"], F.lit(""))) != ""))
+    return F.transform(good, lambda e: F.struct(e["type"].alias("type"), e["value"].alias("value"), F.coalesce(e["confidence"], F.lit(0.85)).alias("confidence"), F.lit("llm").alias("source")))
+
+
 def plug_in(df: DataFrame, function: Callable[[list[str]], list], text: str, column: str, kind: str) -> DataFrame:
     """Add a column made by a Python function over batches of texts (a token
     model, an LLM call, OCR). An exception leaves the batch's values null.

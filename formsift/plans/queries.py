@@ -270,6 +270,19 @@ def display_values(values):
     return values.select("id", text.display_value(F.col("type"), F.col("value")).alias("shown"))
 
 
+@query(
+    "normalized_entities",
+    """SELECT id, CASE type WHEN 'PASSPORT' THEN 'PASSPORT' ELSE type END AS type, CASE WHEN type IN ('PHONE', 'AADHAAR', 'DRIVING_LICENCE') THEN replace(value, ' ', '') WHEN type IN ('PAN', 'VOTER_ID') THEN upper(value) ELSE value END AS value,
+    CASE WHEN id % 2 = 0 THEN 0.5 ELSE 0 END::DOUBLE AS confidence, CASE WHEN id % 2 = 0 THEN 'regex' ELSE 'unknown' END AS source FROM src""",
+    VALUES,
+)
+def normalized_entities(values):
+    even = F.col("id") % 2 == 0
+    named = F.struct(F.when(even, F.col("type")).alias("type"), F.when(even, F.col("value")).alias("value"), F.when(~even, F.col("type")).alias("entity"), F.when(~even, F.col("value")).alias("text"), F.when(even, 0.5).alias("confidence"), F.when(even, "regex").alias("source"))
+    blank = F.struct(F.lit("PAN").alias("type"), F.lit(" ").alias("value"), F.lit(None).cast("string").alias("entity"), F.lit(None).cast("string").alias("text"), F.lit(1.0).alias("confidence"), F.lit("x").alias("source"))
+    return values.select("id", F.explode(text.normalize_entities(F.array(named, blank))).alias("e")).select("id", "e.*")
+
+
 # Context
 
 AT_EMAIL = f"SELECT doc_id, text, CAST(instr(text, 'user') - 1 AS INT) AS place FROM ({FORMS}) AS f WHERE instr(text, 'user') > 0"
@@ -462,6 +475,11 @@ def latency_stats(values):
     return analytics.order_statistics(values, "v").withColumn("mean", F.round("mean", 6))
 
 
+@query("report_lines", MAILS + " SELECT doc_id, 'EMAIL' AS type, count(*) AS lines FROM (SELECT doc_id, unnest(v) AS x FROM m) GROUP BY doc_id", DOCS)
+def report_lines(docs):
+    return analytics.report(pipeline.extract(docs)).groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("lines"))
+
+
 # Evaluation
 
 GOLD, FOUND = "ord <= 4", "ord % 3 <> 0"

@@ -231,6 +231,18 @@ def test_llm_replies_and_places(spark):
     assert got == {0: [("asha nair", 11, 21)], 1: [("(X)", 22, 25)], 2: [], 3: [], 4: [("none", None, None)], 5: []}
 
 
+def test_llm_list(spark):
+    df = spark.createDataFrame([('x [{"type": "PAN", "value": "A", "confidence": 0.5}, {"type": "", "value": "B"}, {"type": "NAME", "value": "C"}] y',), ("none",), (None,)], "r string")
+    got = [[(e["type"], e["value"], e["confidence"], e["source"]) for e in r["c"]] for r in df.select(extract.llm_list(F.col("r")).alias("c")).collect()]
+    assert got == [[("PAN", "A", 0.5, "llm"), ("NAME", "C", 0.85, "llm")], [], []]
+
+
+def test_llm_endpoint_that_is_away_gives_no_reply():
+    from formsift.sources.llm_http import HttpLlm
+
+    assert HttpLlm(url="http://127.0.0.1:9", timeout=0.5)(["a", None]) == [None, None]
+
+
 def test_values(spark):
     df = spark.createDataFrame([("31/02/2000", "1-2-1999", "15/08-2004", "+91 98765 43210", "919876543210")], "a string, b string, c string, d string, e string")
     row = df.select(*[text.normalize_dob(F.col(c)).alias(c) for c in "abc"], *[text.normalize_phone(F.col(c)).alias(c) for c in "de"]).first()
