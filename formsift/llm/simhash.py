@@ -203,7 +203,8 @@ def groups(prints: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> Data
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each document."""
     prints = staged(fingerprints(docs), "fingerprints")
-    named = groups(prints).withColumnRenamed("fp", "group_fp")
+    # Written, so that each side of the join is dealt by itself and many equal fingerprints can be split.
+    named = staged(groups(prints), "groups").withColumnRenamed("fp", "group_fp")
     joined = prints.join(named, F.col("fp") == F.col("group_fp"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
