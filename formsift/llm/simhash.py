@@ -212,9 +212,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest key,
     then the smallest text hash; of rows equal in both, one. All columns stay."""
-    mark = F.xxhash64(text)
-    prints = staged(fingerprints(docs.select(F.struct(F.col(key).alias("k"), mark.alias("h")).alias("who"), F.col(text)), "who", text), "fingerprints")
-    keepers = groups(prints, "who").select(F.col("component.k").alias("__keep_k"), F.col("component.h").alias("__keep_h")).distinct()
-    marked = docs.withColumn("__h", mark)
-    hit = marked.join(keepers, F.col(key).eqNullSafe(F.col("__keep_k")) & (F.col("__h") == F.col("__keep_h")), "left_semi")
-    return hit.dropDuplicates([key, "__h"]).drop("__h")
+    # try_add: a nullable hash, as in the written table, so that keys need no cast.
+    who = F.struct(F.col(key).alias("k"), F.try_add(F.xxhash64(text), F.lit(0).cast("bigint")).alias("h"))
+    prints = staged(fingerprints(docs.select(who.alias("who"), F.col(text)), "who", text), "fingerprints")
+    keepers = groups(prints, "who").select(F.col("component").alias("__keeper"))
+    # Joined and made distinct by the same column, so the texts are dealt once.
+    marked = docs.withColumn("__who", who)
+    return marked.join(keepers, F.col("__who") == F.col("__keeper"), "left_semi").dropDuplicates(["__who"]).drop("__who")
