@@ -34,7 +34,7 @@ from formsift.llm.common import prepare
 
 NONE = np.iinfo(np.int32).max
 #: Words kept with their ids in a worker, and the longest such word in bytes.
-MEMO_WORDS, MEMO_BYTES = 700_000, 64
+MEMO_WORDS, MEMO_BYTES = 400_000, 64
 HOT_WORDS, IDLE_S = 10_000, 5.0
 #: Symbols in one flat array.
 ROUND_SYMBOLS = 2_000_000
@@ -178,8 +178,8 @@ class WordMemo:
     start anew. A worker that waits for work gives the tables' memory back after
     IDLE_S seconds, so that other stages of its executor have it."""
 
-    def __init__(self, encode, split, forget=lambda: None):
-        self.encode, self.split, self.forget = encode, split, forget
+    def __init__(self, encode, split, forget=lambda: None, limit=MEMO_WORDS):
+        self.encode, self.split, self.forget, self.limit = encode, split, forget, limit
         self.hot, self.known, self.missed = {}, {}, 0
         self.lock, self.watch, self.used = threading.Lock(), None, 0.0
 
@@ -206,7 +206,7 @@ class WordMemo:
 
     def _texts(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.split(t) if t else [] for t in texts]
-        if self.missed > 4 * MEMO_WORDS:
+        if self.missed > 4 * self.limit:
             self.hot, self.known, self.missed = {}, {}, 0
         words = list(chain.from_iterable(cut))
         ids = list(map(self.hot.get, words))
@@ -231,7 +231,7 @@ class WordMemo:
                 made.update(zip(part, self.encode(part), strict=True))
             for k in lost:
                 found[k] = made[named[k]]
-            if len(self.known) > MEMO_WORDS:
+            if len(self.known) > self.limit:
                 self.missed += len(new)
             else:
                 self.known.update((w, x) for w, x in made.items() if len(w) <= MEMO_BYTES)

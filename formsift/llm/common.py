@@ -72,13 +72,17 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
+#: Most shards of an order; beyond it they grow, and tasks stream and spill more.
+MAX_SHARDS = 10_000
+
+
 def order_bounds(df: DataFrame, key: str, text: str, shard_bytes: int) -> list[int]:
     """First keys of the shards 1, 2, ... of df by ascending key.
 
-    Their number follows the bytes of text; the list is as long as there are
-    shards, whatever the number of rows."""
+    Their number follows the bytes of text up to MAX_SHARDS; the list is as long
+    as there are shards, whatever the number of rows."""
     total = df.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
-    shards = max(1, -(-total // shard_bytes))
+    shards = min(MAX_SHARDS, max(1, -(-total // shard_bytes)))
     if shards == 1:
         return []
     cuts = [i / shards for i in range(1, shards)]
@@ -86,13 +90,25 @@ def order_bounds(df: DataFrame, key: str, text: str, shard_bytes: int) -> list[i
     return sorted(set(found))
 
 
+def bounds_array(bounds: list[int]) -> Column:
+    """The bounds as one constant."""
+    return F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+
+
 def shard_of(key: str, bounds: list[int]) -> Column:
-    """Shard number of a key: how many bounds are at most it (null: 0)."""
+    """Shard number of a key: how many bounds are at most it (null: 0), by binary search."""
     if not bounds:
         return F.lit(0)
-    cuts = F.array(*[F.lit(b).cast("bigint") for b in bounds])
-    at = F.expr("0") if not bounds else F.aggregate(cuts, F.lit(0), lambda n, b: n + F.when(F.col(key) >= b, 1).otherwise(0))
-    return F.coalesce(at, F.lit(0)).cast("int")
+    cuts, value = bounds_array(bounds), F.col(key)
+
+    def halve(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = (s["lo"] < s["hi"]) & (F.try_element_at(cuts, mid + 1) <= value)
+        return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(F.least(mid, s["hi"])).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    return F.coalesce(F.when(value.isNotNull(), F.aggregate(steps, start, halve, lambda s: s["lo"])), F.lit(0)).cast("int")
 
 
 def in_order(df: DataFrame, key: str, bounds: list[int], *ties: str) -> DataFrame:

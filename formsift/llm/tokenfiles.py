@@ -1,6 +1,6 @@
 """Token ids in bit-plane files.
 
-A shard file holds, back to back, frames that each end in a zero byte:
+A shard file holds, back to back, parts that each end in a zero byte:
 
     header   "BPS1", u32 shard, u32 ids in a full block, u8 planes a bit (1) or byte (8) wide
     blocks   each plane of up to `block` ids, one after the other, each a zstandard frame
@@ -30,12 +30,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formsift.llm.bpe import MEMO_BYTES, WordMemo, ascii_words, byte_letters, normalize, slices
+from formsift.llm.bpe import MEMO_BYTES, MEMO_WORDS, WordMemo, ascii_words, byte_letters, normalize, slices
 from formsift.llm.common import in_order, order_bounds, prepare, read_files, shared_path, write_frames
 
 BLOCK_IDS = 1 << 16
-#: Bytes of text that one shard file takes, about.
-SHARD_BYTES = 24 << 20
+#: Bytes of text that one task takes, about, and ids after which it begins a new file.
+TASK_BYTES, FILE_IDS = 24 << 20, 1 << 24
+#: Files that one task may write, as bits of the shard number.
+SUB_BITS = 18
 HEADER, TRAILER = struct.Struct("<4sIIB"), struct.Struct("<QIQIQQ4s")
 END = b"\0"
 
@@ -104,8 +106,9 @@ MEMO_PIECES = 200_000
 _LIBRARY: dict[str, WordMemo] = {}
 
 
-def library_memo(path: str) -> WordMemo:
-    """Texts to ids with the tokenizers library, one a worker and file."""
+def library_memo(path: str, words: int = MEMO_WORDS) -> WordMemo:
+    """Texts to ids with the tokenizers library, one a worker and file; it keeps
+    so many words where other work leaves the memory."""
     if path not in _LIBRARY:
         from tokenizers import Tokenizer
 
@@ -136,6 +139,7 @@ def library_memo(path: str) -> WordMemo:
             return [out[w] for w in words]
 
         _LIBRARY[path] = WordMemo(encode, cut, known.clear)
+    _LIBRARY[path].limit = words
     return _LIBRARY[path]
 
 
@@ -163,7 +167,7 @@ class ShardWriter:
     def __init__(self, shard: int, block: int = BLOCK_IDS, width: int = 1):
         self.shard, self.block, self.width = shard, block, width
         self.at, self.index, self.keys, self.counts = 0, [], [], []
-        self.pending, self.held = [], 0
+        self.pending, self.held, self.n_ids = [], 0, 0
         self.zstd = zstandard.ZstdCompressor(level=1)
 
     def _frame(self, data: bytes) -> bytes:
@@ -189,6 +193,7 @@ class ShardWriter:
         self.counts.append(len(ids))
         self.pending.append(ids)
         self.held += len(ids)
+        self.n_ids += len(ids)
         if self.held >= self.block:
             yield from self._flush(False)
 
@@ -248,30 +253,35 @@ class ShardReader:
             before += n
 
 
-def write_tokens(df: DataFrame, tokenizer: str, path: str, key: str = "doc_id", text: str = "text", end_id: int = 2, block: int = BLOCK_IDS, width: int = 1, shard_bytes: int = SHARD_BYTES) -> None:
+def write_tokens(df: DataFrame, tokenizer: str, path: str, key: str = "doc_id", text: str = "text", end_id: int = 2, block: int = BLOCK_IDS, width: int = 1, task_bytes: int = TASK_BYTES, file_ids: int = FILE_IDS) -> None:
     """Encode a text column and write its ids, end_id after each text, as shard
-    files in ascending key order (ties by text)."""
+    files in ascending key order (ties by text). A file holds whole documents
+    and is made in memory, about file_ids ids; tasks may be of any size."""
     prepare(df.sparkSession)
     source = df.select(F.col(key).cast("bigint").alias(key), text)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        memo, out = library_memo(tokenizer), None
+        memo, out, parts, sub = library_memo(tokenizer), None, [], 0
         for batch in batches:
             for part in slices(batch):
-                frames = []
-                if out is None and part.num_rows:
-                    out = ShardWriter(part.column(2)[0].as_py(), block, width)
-                    frames += out.start()
-                found = memo.texts(part.column(1).to_pylist())
-                for k, ids in zip(part.column(0).to_pylist(), found):
-                    frames += out.add(k, np.frombuffer(ids + end, "<u4"))
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
+                first = part.column(2)[0].as_py() << SUB_BITS if part.num_rows else 0
+                for k, ids in zip(part.column(0).to_pylist(), memo.texts(part.column(1).to_pylist())):
+                    if out is None:
+                        out = ShardWriter(first + sub, block, width)
+                        parts = list(out.start())
+                    parts += out.add(k, np.frombuffer(ids + end, "<u4"))
+                    if out.n_ids >= file_ids:
+                        yield whole_file(out, parts)
+                        out, sub = None, sub + 1
         if out is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(list(out.finish()), pa.binary())], ["frame"])
+            yield whole_file(out, parts)
 
-    ordered = in_order(source, key, order_bounds(source, key, text, shard_bytes), text)
-    write_frames(ordered.mapInArrow(run, "frame binary"), path)
+    def whole_file(out, parts):
+        return pa.RecordBatch.from_arrays([pa.array([b"".join([*parts, *out.finish()])], pa.binary())], ["frame"])
+
+    ordered = in_order(source, key, order_bounds(source, key, text, task_bytes), text)
+    write_frames(ordered.mapInArrow(run, "frame binary"), path, per_file=1)
 
 
 def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:

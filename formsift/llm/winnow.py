@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formsift.llm.bpe import list_array, slices
-from formsift.llm.common import order_bounds, prepare, shard_of
+from formsift.llm.common import bounds_array, order_bounds, prepare, shard_of
 
 GRAM, WINDOW = 16, 32
 BLOCK = 1 << 20
@@ -173,7 +173,9 @@ def peeking(source: DataFrame, low: int | None, bounds: list[int]) -> DataFrame:
     """(doc_id, text, peek) in order by shard: with peek, copies of the documents
     that begin the next shard (for the last shard: the whole order) at the end."""
     shards = len(bounds) + 1
-    begins = F.col("doc_id").eqNullSafe(F.lit(low).cast("bigint")) | F.col("doc_id").isin(bounds)
+    begins = F.col("doc_id").eqNullSafe(F.lit(low).cast("bigint"))
+    if bounds:
+        begins = begins | F.coalesce(F.col("doc_id") == F.try_element_at(bounds_array(bounds), F.greatest(F.col("shard"), F.lit(1))), F.lit(False))
     own = F.struct(F.col("shard").alias("to"), F.lit(False).alias("peek"))
     before = F.struct(F.pmod(F.col("shard") - 1, F.lit(shards)).cast("int").alias("to"), F.lit(True).alias("peek"))
     dealt = source.withColumn("shard", shard_of("doc_id", bounds)).withColumn("deal", F.explode(F.when(begins, F.array(own, before)).otherwise(F.array(own))))

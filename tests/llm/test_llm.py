@@ -16,7 +16,7 @@ from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from formsift.llm import bpe, chat, packing, pages, quality, secrets, simhash, tokenfiles, warc, winnow
-from formsift.llm.common import shared_path, write_frames
+from formsift.llm.common import shard_of, shared_path, write_frames
 from formsift.llm.queries import vocabulary
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -114,9 +114,9 @@ def test_planes_round_trip(width):
 
 def test_token_files(spark, docs, empty):
     t = library(WORD_BPE)
-    for block, width, shard in ((1 << 16, 1, 1 << 24), (64, 8, 20_000)):
+    for block, width, task, ids in ((1 << 16, 1, 1 << 24, 1 << 24), (64, 8, 20_000, 1 << 24), (64, 1, 1 << 24, 5_000)):
         path = shared_path(spark, "tokens")
-        tokenfiles.write_tokens(docs, vocabulary(WORD_BPE), path, block=block, width=width, shard_bytes=shard)
+        tokenfiles.write_tokens(docs, vocabulary(WORD_BPE), path, block=block, width=width, task_bytes=task, file_ids=ids)
         got = sorted(((r["start"], r["key"], r["n_tokens"], bytes(r["ids"]), r["ids_crc32"]) for r in rows_of(tokenfiles.read_tokens(spark, path))), key=lambda x: x[0])
         at = 0
         for (key, text), (start, k, n, ids, crc) in zip(sorted(pairs_of(docs), key=lambda x: (x[0] is not None, x[0] or 0, x[1])), got, strict=True):
@@ -126,6 +126,14 @@ def test_token_files(spark, docs, empty):
     assert tokenfiles.token_file_digests(empty, vocabulary(WORD_BPE)).count() == 0
 
 
+def test_shards_by_binary_search(spark):
+    for bounds in ([], [5], [-3, 0, 7], list(range(0, 999, 3))):
+        keys = [None, -10, *range(-5, 1010)]
+        df = spark.createDataFrame([(k,) for k in keys], "k bigint")
+        got = {r["k"]: r["s"] for r in rows_of(df.select("k", shard_of("k", bounds).alias("s")))}
+        assert got == {k: 0 if k is None else sum(b <= k for b in bounds) for k in keys}
+
+
 # Packing
 
 
@@ -429,6 +437,11 @@ def test_main_text(spark):
     assert pages.main_texts(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_marks_inside_articles():
+    html = "<body class='has-comments'><article class='post ad-free'><p>a</p><article class='comment'><p>me</p></article><div class='social-share'>s</div><span class=ad>x<span>y</span></span>b</article><aside>c</aside>"
+    assert [t for _, p, t in pages.blocks(html) if p == 1] == ["a", "b"]
+
+
 def test_style_tree_drops_what_a_host_repeats(spark):
     page = "<body><div class=top><p>Best site of all</p></div><div class=story><p>{}</p><p>{}</p></div></body>"
     rows = [(i, f"http://h.example/{i}", page.format(f"story {i} begins", f"and {i * 7} ends"), "x", "y") for i in range(40)]
