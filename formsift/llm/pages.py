@@ -112,7 +112,9 @@ def blocks(html: str) -> list[tuple[str, int, str]]:
             at = end.end() if end else n
             continue
         names = name_words(m[3] or "")
-        noisy = tag in NOISE_TAGS or (tag not in UNMARKED and not NOISE_WORDS.isdisjoint(names))
+        # An article inside another may be a reader's comment; an outer one's class words say nothing.
+        named = tag not in UNMARKED or (tag == "article" and stack[-1][2] == 1)
+        noisy = tag in NOISE_TAGS or (named and not NOISE_WORDS.isdisjoint(names))
         if tag in VOID_TAGS:
             if tag not in INLINE_TAGS:
                 flush()
