@@ -64,6 +64,17 @@ def extract(docs: DataFrame, text: str = "text", ner: Callable | None = None, ll
     return first.withColumn("entities", enrich(F.col("entities"))).withColumn("status", status).select(*[c for c in kept if c not in ("entities", "status")], "entities", "status")
 
 
+#: What extract() adds to its documents.
+RESULT = "entities array<struct<type:string,value:string,confidence:double,source:string,start:int,end:int,validated:boolean,context_role:string,context_label:string,context_score:double,context_model:string,format_valid:boolean,methods_agree:boolean,confidence_level:string>>, status string"
+
+
+def observed(extracted: DataFrame, observation) -> DataFrame:
+    """Count documents and entities while another action runs over them; an
+    Observation holds the figures afterwards. Texts and values are never logged."""
+    entities = F.coalesce(F.sum(F.size("entities")), F.lit(0)).cast("bigint")
+    return extracted.observe(observation, F.count(F.lit(1)).alias("documents"), entities.alias("entities"), F.count_if(F.col("status") == "no_text").alias("no_text"))
+
+
 def entity_rows(extracted: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row an entity, ord from 0 in document order."""
     # Not posexplode(): for it the optimizer adds a filter that computes all entities a second time.

@@ -216,6 +216,16 @@ def test_pipeline_stays_in_its_rows_and_uses_plug_ins(spark):
     assert pipeline.redact(plain.where("doc_id = 1")).first()["redacted"] == "Name\nAsha Nair\nPAN [PAN] or [PAN]"
 
 
+def test_result_schema_and_observed_counts(spark):
+    from pyspark.sql import Observation
+
+    df = pipeline.extract(spark.createDataFrame([(1, "a@b.co"), (2, None)], "doc_id bigint, text string"))
+    assert df.select("entities", "status").schema.simpleString() == spark.createDataFrame([], pipeline.RESULT).schema.simpleString()
+    seen = Observation()
+    pipeline.observed(df, seen).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"documents": 2, "entities": 1, "no_text": 1}
+
+
 def test_bio_decode_closes_and_skips(spark):
     tokens = [("O", 0.9, 0, 0), ("B-NAME", 0.9, 0, 4), ("I-NAME", 0.81234, 5, 9), ("O", 0.9, 10, 11), ("I-NAME", 0.7, 12, 14), ("I-PAN", 0.6, 15, 18), ("B-PAN", 0.5, 19, 22), ("X", 0.4, 23, 24), ("I-PAN", 0.3, 25, 26)]
     df = spark.createDataFrame([(tokens,)], "t array<struct<label:string,score:double,start:int,end:int>>")
