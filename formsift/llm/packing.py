@@ -31,8 +31,8 @@ from formsift.llm.common import prepare, staged
 from formsift.llm.tokenfiles import library_memo
 
 MAX_LEN = 1024
-#: Words kept in a worker: this stage has no sort or shuffle beside it.
-PACKING_WORDS = 800_000
+#: Words and model words kept in a worker: this stage has no sort or shuffle beside it.
+PACKING_WORDS, PACKING_PIECES = 800_000, 400_000
 SLOTS = "length int, rank_from bigint, rank_to bigint, cut_from int, cut_len int, sequence_base bigint, offset int"
 
 
@@ -130,7 +130,7 @@ def token_pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        memo, ranks, part_no = library_memo(tokenizer, PACKING_WORDS), defaultdict(int), None
+        memo, ranks, part_no = library_memo(tokenizer, PACKING_WORDS, PACKING_PIECES), defaultdict(int), None
         for batch in batches:
             for part in slices(batch):
                 if part_no is None and part.num_rows:

@@ -35,22 +35,35 @@ from formsift.llm.common import in_order, order_bounds, prepare, read_files, sha
 
 BLOCK_IDS = 1 << 16
 #: Bytes of text that one task takes, about, and ids after which it begins a new file.
-TASK_BYTES, FILE_IDS = 24 << 20, 1 << 24
+TASK_BYTES, FILE_IDS = 12 << 20, 1 << 24
 #: Files that one task may write, as bits of the shard number.
 SUB_BITS = 18
 HEADER, TRAILER = struct.Struct("<4sIIB"), struct.Struct("<QIQIQQ4s")
 END = b"\0"
 
 
-#: Stands before a word that no space comes before; never part of UTF-8.
-FIRST = b"\xff"
+#: Stands before a word that no space comes before, and for a line feed; neither is part of UTF-8.
+FIRST, FEED = b"\xff", b"\xfe"
+#: Bytes that may be part of white space after or before a line feed.
+AFTER = frozenset(b" \t\r\x0b\x0c\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3")
+BEFORE = frozenset(b" \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x80\x81\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x9f\xa0\xa8\xa9\xaf")
+
+
+RUNS = tuple(b" " + bytes([b]) for b in sorted({*AFTER, *b"\n"}))
 
 
 def space_words(text: str) -> list[bytes]:
-    """Cut before each space, which is left out. Runs of spaces belong together,
-    so a text with one stays whole."""
-    raw = FIRST + text.encode("utf-8", "replace")
-    return [raw] if b"  " in raw else raw.split(b" ")
+    """Cut before each space, which is left out, and around line feeds that no
+    white space touches. A run of white space belongs together, so a text in
+    which other white space may follow a space stays whole."""
+    raw = text.encode("utf-8", "replace")
+    if any(p in raw for p in RUNS):
+        return [FIRST + raw]
+    if b"\n" in raw:
+        lines = raw.split(b"\n")
+        if all(x and x[0] not in AFTER and x[-1] not in BEFORE for x in lines):
+            raw = b" \xfe \xff".join(lines)
+    return (FIRST + raw).split(b" ")
 
 
 def whole(text: str) -> list[bytes]:
@@ -59,7 +72,9 @@ def whole(text: str) -> list[bytes]:
 
 def spaced(word: bytes) -> bytes:
     """The stretch of text that a word of space_words or whole stands for."""
-    return word[1:] if word[:1] == FIRST else b" " + word
+    if word[:1] == FIRST:
+        return word[1:]
+    return b"\n" if word == FEED else b" " + word
 
 
 #: The split that byte-level files name by `use_regex` alone (a fixed pattern of that kind of tokenizer).
@@ -101,14 +116,14 @@ def splitter(path: str):
     return cut, stretch, pieces_of
 
 
-#: Model words kept with their ids in a worker.
-MEMO_PIECES = 200_000
+#: Model words kept with their ids in a worker; words kept where texts are sorted beside it.
+MEMO_PIECES, SORTING_WORDS = 250_000, 450_000
 _LIBRARY: dict[str, WordMemo] = {}
 
 
-def library_memo(path: str, words: int = MEMO_WORDS) -> WordMemo:
+def library_memo(path: str, words: int = MEMO_WORDS, pieces: int = MEMO_PIECES) -> WordMemo:
     """Texts to ids with the tokenizers library, one a worker and file; it keeps
-    so many words where other work leaves the memory."""
+    so many words, and so many of the model's words, as other work leaves memory for."""
     if path not in _LIBRARY:
         from tokenizers import Tokenizer
 
@@ -116,13 +131,13 @@ def library_memo(path: str, words: int = MEMO_WORDS) -> WordMemo:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         cut, stretch, pieces_of = splitter(path)
-        model, known = tokenizer.model, {}
+        model, known, most = tokenizer.model, {}, {}
 
         def piece(p: str) -> bytes:
             ids = known.get(p)
             if ids is None:
                 ids = array("I", [x.id for x in model.tokenize(p)]).tobytes()
-                if len(known) < MEMO_PIECES:
+                if len(known) < most["pieces"]:
                     known[p] = ids
             return ids
 
@@ -139,8 +154,10 @@ def library_memo(path: str, words: int = MEMO_WORDS) -> WordMemo:
             return [out[w] for w in words]
 
         _LIBRARY[path] = WordMemo(encode, cut, known.clear)
-    _LIBRARY[path].limit = words
-    return _LIBRARY[path]
+        _LIBRARY[path].most = most
+    memo = _LIBRARY[path]
+    memo.limit, memo.most["pieces"] = words, pieces
+    return memo
 
 
 def to_planes(ids: np.ndarray, width: int) -> list[bytes]:
@@ -262,7 +279,7 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, key: str = "doc_id",
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        memo, out, parts, sub = library_memo(tokenizer), None, [], 0
+        memo, out, parts, sub = library_memo(tokenizer, SORTING_WORDS), None, [], 0
         for batch in batches:
             for part in slices(batch):
                 first = part.column(2)[0].as_py() << SUB_BITS if part.num_rows else 0

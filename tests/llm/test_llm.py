@@ -98,7 +98,9 @@ def test_bpe_keeps_clashing_columns(spark):
 @pytest.mark.parametrize("name", [WORD_BPE, BYTE_BPE])
 def test_memo_equals_the_library(name):
     memo, t = tokenfiles.library_memo(vocabulary(name)), library(name)
-    texts = odd_texts()
+    rng = random.Random(4)
+    pieces = [*"ab \u00e9.,!'s12\n\n ", "\u00a0", "\u2003", "\u3000", "\x85", "\r", "\t", "\x1c", "foo", "Bar.", "it's", " \n \n", " \u00a0 \u00a0"]
+    texts = odd_texts() + ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(5000)]
     for text, ids in zip(texts, memo.texts(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
 
