@@ -49,7 +49,8 @@ AFTER = frozenset(b" \t\r\x0b\x0c\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3")
 BEFORE = frozenset(b" \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x80\x81\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x9f\xa0\xa8\xa9\xaf")
 
 
-RUNS = tuple(b" " + bytes([b]) for b in sorted({*AFTER, *b"\n"}))
+#: White space after a space: looked for in pairs only where the single byte is there at all.
+RUNS = tuple((bytes([b]), b" " + bytes([b])) for b in sorted({*AFTER, *b"\n"} - {*b" \x1c\x1d\x1e\x1f"}))
 
 
 def space_words(text: str) -> list[bytes]:
@@ -57,7 +58,7 @@ def space_words(text: str) -> list[bytes]:
     white space touches. A run of white space belongs together, so a text in
     which other white space may follow a space stays whole."""
     raw = text.encode("utf-8", "replace")
-    if any(p in raw for p in RUNS):
+    if b"  " in raw or any(one in raw and pair in raw for one, pair in RUNS):
         return [FIRST + raw]
     if b"\n" in raw:
         lines = raw.split(b"\n")
