@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formsift.llm.common import prepare, read_table, staged
+from formsift.llm.neardup import keep_one
 from formsift.llm.packing import packed_rows
 from formsift.llm.quality import keep_good
 from formsift.llm.queries import vocabulary
 from formsift.llm.secrets import find_secrets
-from formsift.llm.simhash import keep_one
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

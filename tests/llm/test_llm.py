@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from formsift.llm import bpe, chat, packing, pages, quality, secrets, simhash, tokenfiles, warc, winnow
+from formsift.llm import bpe, chat, neardup, packing, pages, quality, secrets, simhash, tokenfiles, warc, winnow
 from formsift.llm.common import shard_of, shared_path, write_frames
 from formsift.llm.queries import vocabulary
 
@@ -570,3 +570,44 @@ def test_stages_on_an_empty_table_and_nulls(spark, empty):
             out = stage(spark, df, "")
             assert out.columns == df.columns and out.count() <= df.count()
         assert corpus_pipeline.STAGES[-1][1](spark, df, "").count() == df.count()
+
+
+# Near-duplicates by shingle similarity
+
+
+def slow_similar(texts):
+    """Smallest index of each text's group, by all pairs of five-word sets."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("most", [2, 32])
+def test_near_dedup_stage_finds_all_similar_texts(spark, most, monkeypatch):
+    monkeypatch.setattr(neardup.similar_groups, "__defaults__", (most,))
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(4000)}"
+    texts = [None, "", " ", "one two", "One  two", "a b c d e"]
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(30, 160))]
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randint(0, 6)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    line = " ".join(word() for _ in range(12))  # common to texts that share nothing else
+    texts += [" ".join([line, *(word() for _ in range(rng.randint(1, 20)))]) for _ in range(60)]
+    root = slow_similar(texts)
+    prints = [simhash.fingerprint(t or "") for t in texts]
+    assert any(root[i] == root[j] and (prints[i] ^ prints[j]).bit_count() > 2 for i in range(len(texts)) for j in range(i))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS).repartition(4)
+    got = sorted(r["doc_id"] for r in rows_of(corpus_pipeline.near_dedup(spark, docs, "")))
+    assert got == sorted(set(root))
