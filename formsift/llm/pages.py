@@ -13,14 +13,18 @@ the entropy is averaged with what the node's presentation says: tags and class
 words of menus, headers, footers, side bars, notices, adverts, forms and
 comments 0, with twice the weight of all that was seen; article and main 1, with
 the same weight as all that was seen; other nodes 0.6, worth PRIOR_PAGES blocks.
-So explicit marks stand, and the entropy decides on all nodes without them.
+Class words of layout inside an article are 0, worth PRIOR_PAGES blocks too.
+So tags and the other class words stand whatever the entropy is: menus, adverts
+and comments differ from page to page as main text does. The entropy decides on
+nodes without marks and on layout words in articles.
 
 Branches below LIMIT are removed from each page; the rest is joined in page
 order. Scripts, styles, comments of the markup and the head never make blocks.
 
 Null html gives an empty text; a null url is a host of its own; pages with equal
 ids stay separate. If a page marks an article or main element, blocks outside
-all of them start as template and blocks inside as content."""
+all of them start as template and blocks inside as content; so they do below a
+wrapper that only has class words of layout, if no article stands outside one."""
 
 from __future__ import annotations
 
@@ -44,6 +48,11 @@ NOISE_WORDS = frozenset(
     replies discussion notice notices cookie cookies consent gdpr alert popup modal newsletter subscribe signup login
     form search pagination pager copyright legal disclaimer""".split()
 )
+#: Of these, words of layout. What they mark repeats on a host's pages; if it doesn't, they name something else.
+LAYOUT_WORDS = frozenset(
+    """banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside widget
+    notice notices cookie cookies consent gdpr alert popup modal form search pagination pager copyright legal disclaimer""".split()
+)
 CONTENT_TAGS = frozenset(["article", "main"])
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that don't end the block they stand in.
@@ -69,9 +78,10 @@ def name_words(attributes: str) -> tuple[str, ...]:
 
 def blocks(html: str) -> list[tuple[str, int, str]]:
     """(node, prior, text) of each block in page order. node: the chain of tags
-    and names; prior: 1 content, 0 template, 2 unknown."""
+    and names; prior: 1 content, 0 template, 2 unknown, 3 layout words in content."""
     out: list[tuple[str, int, str]] = []
-    stack: list[tuple[str, str, int]] = [("", "", 2)]  # tag, chain, prior
+    # tag, chain, prior (and ten for each wrapper with layout words around its article), number of such wrappers or -1
+    stack: list[tuple[str, str, int, int]] = [("", "", 2, 0)]
     parts: list[str] = []
     at, n = 0, len(html)
 
@@ -113,8 +123,9 @@ def blocks(html: str) -> list[tuple[str, int, str]]:
             continue
         names = name_words(m[3] or "")
         # An article inside another may be a reader's comment; an outer one's class words say nothing.
-        named = tag not in UNMARKED or (tag == "article" and stack[-1][2] == 1)
-        noisy = tag in NOISE_TAGS or (named and not NOISE_WORDS.isdisjoint(names))
+        named = tag not in UNMARKED or (tag == "article" and stack[-1][2] % 10 in (1, 3))
+        said = NOISE_WORDS.intersection(names)
+        noisy = tag in NOISE_TAGS or bool(named and said)
         if tag in VOID_TAGS:
             if tag not in INLINE_TAGS:
                 flush()
@@ -127,15 +138,24 @@ def blocks(html: str) -> list[tuple[str, int, str]]:
         ends = CLOSES.get(tag, ())
         while len(stack) > 1 and stack[-1][0] in ends:
             del stack[-1:]
-        prior = stack[-1][2]
+        prior, deep = stack[-1][2:]
+        layout = tag not in NOISE_TAGS and said <= LAYOUT_WORDS
         if noisy:
-            prior = 0
-        elif tag in CONTENT_TAGS and prior == 2:
-            prior = 1
-        stack.append((tag, f"{stack[-1][1]}/{tag}" + "".join(f".{w}" for w in names), prior))
+            prior, deep = (prior // 10 * 10 + 3 if layout and prior % 10 in (1, 3) else 0), (deep + 1 if layout and deep >= 0 else -1)
+        elif tag in CONTENT_TAGS and (prior == 2 or (prior == 0 and deep > 0 and said <= LAYOUT_WORDS)):
+            prior, deep = 10 * deep + 1, -1
+        stack.append((tag, f"{stack[-1][1]}/{tag}" + "".join(f".{w}" for w in names), prior, deep))
     flush()
-    if any(p == 1 for _, p, _ in out):
-        out = [(node, 0 if p == 2 else p, text) for node, p, text in out]
+    levels = [p // 10 for _, p, _ in out if p % 10 == 1]
+    if levels:
+        # Below layout words, only the outermost articles count, and only if they are not less than the unmarked rest.
+        low = min(levels)
+        inside = lambda p: p % 10 in (1, 3) and p // 10 == low
+        if low and sum(len(t) for _, p, t in out if inside(p)) < sum(len(t) for _, p, t in out if p == 2):
+            return [(node, p if p == 2 else 0, text) for node, p, text in out]
+        out = [(node, p % 10 if inside(p) else 0, text) for node, p, text in out]
+    else:
+        out = [(node, p if p in (0, 2) else 0, text) for node, p, text in out]
     return out
 
 
@@ -170,7 +190,7 @@ def importance(parsed: DataFrame, host: str = "host") -> DataFrame:
     counts = seen.groupBy(host, "node", "prior", "h").agg(F.count(F.lit(1)).alias("c"))
     nodes = counts.groupBy(host, "node", "prior").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
     entropy = F.when(F.col("n") > 1, 1 - F.col("clogc") / (F.col("n") * F.log("n"))).otherwise(F.lit(1.0))
-    prior = F.when(F.col("prior") == 0, 0.0).when(F.col("prior") == 1, 1.0).otherwise(0.6)
+    prior = F.when(F.col("prior").isin(0, 3), 0.0).when(F.col("prior") == 1, 1.0).otherwise(0.6)
     weight = F.when(F.col("prior") == 0, 2 * F.col("n")).when(F.col("prior") == 1, F.col("n")).otherwise(PRIOR_PAGES)
     return nodes.select(host, "node", "prior", ((prior * weight + entropy * F.col("n")) / (weight + F.col("n"))).alias("importance"))
 

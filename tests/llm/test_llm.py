@@ -444,6 +444,22 @@ def test_marks_inside_articles():
     assert [t for _, p, t in pages.blocks(html) if p == 1] == ["a", "b"]
 
 
+def test_articles_below_layout_words():
+    kept = lambda html: [t for _, p, t in pages.blocks(html) if p == 1]
+    assert kept("<div id=page class='site no-sidebar'><article><p>a</p><nav>n</nav></article><div class=comments><article>me</article></div></div>") == ["a"]
+    assert kept("<div class='two-side-layout'><main>a</main><footer>f</footer></div>") == ["a"]
+    assert kept("<div class=page-header><nav><article>n</article></nav></div><article>a</article><div class=sidebar><article>t</article></div>") == ["a"]
+    assert [(p, t) for _, p, t in pages.blocks("<p>a long story</p><div class=sidebar><article>t</article></div>")] == [(2, "a long story"), (0, "t")]
+    assert [(p, t) for _, p, t in pages.blocks("<p>a story</p><div class=comments><article class=comment>me and me</article></div>")] == [(2, "a story"), (0, "me and me")]
+
+
+def test_entropy_overrules_layout_words_in_articles(spark):
+    page = "<article><h2 class='section-header'>{0}</h2><p>text {0}</p><div class=notice>same notice</div><div class=comment>me {0}</div></article><nav>go {0}</nav>"
+    rows = [(i, f"http://h.example/{i}", page.format(f"t{i}")) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in rows_of(pages.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string")))}
+    assert got == {i: f"t{i} text t{i}" for i in range(20)}
+
+
 def test_style_tree_drops_what_a_host_repeats(spark):
     page = "<body><div class=top><p>Best site of all</p></div><div class=story><p>{}</p><p>{}</p></div></body>"
     rows = [(i, f"http://h.example/{i}", page.format(f"story {i} begins", f"and {i * 7} ends"), "x", "y") for i in range(40)]
