@@ -225,6 +225,12 @@ def normalize_phone(raw):
     return raw.select("id", text.normalize_phone(F.col("phone")).alias("a"), text.normalize_phone(F.concat(F.lit("91-"), "phone")).alias("b"), text.normalize_phone(F.col("value")).alias("c"))
 
 
+@query("normalize_phone_values", None, RAW)
+def normalize_phone_values(raw):
+    """Every value, of whatever type; normalize_phone has the two types that its SQL follows."""
+    return raw.select("id", text.normalize_phone(F.col("value")).alias("phone"))
+
+
 @query("normalize_dob", "SELECT id, strftime(strptime(dotted, '%d.%m.%Y'), '%Y-%m-%d') AS a, CASE WHEN dashed = '31-02-2000' THEN dashed ELSE strftime(strptime(dashed, '%d-%m-%Y'), '%Y-%m-%d') END AS b FROM src", RAW)
 def normalize_dob(raw):
     return raw.select("id", text.normalize_dob(F.col("dotted")).alias("a"), text.normalize_dob(F.col("dashed")).alias("b"))
@@ -380,6 +386,12 @@ def dedup_methods_agree(lines):
     return rows(docs.select("doc_id", reconcile.fold_equal(reconcile.canonical(F.col("entities"))).alias("x")), "x", "value", "methods_agree", "source")
 
 
+@query("dedup_fold", None, LINES)
+def dedup_fold(lines):
+    """The fold over all candidates of a document; dedup_methods_agree has the two that its SQL follows."""
+    return dedup_methods_agree(lines)
+
+
 def _fragments(kind, gap):
     def run(lines):
         docs = documents_of(lines.withColumn("type", F.lit(kind)))

@@ -2,7 +2,9 @@
 
 import io
 import random
+import re
 import zipfile
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from formsift import vocab
 from formsift.functions import scoring, text
 from formsift.operators import analytics, context, evaluate, extract, prep, reconcile, route, synth
-from formsift.plans import pipeline
+from formsift.plans import pipeline, queries
 from formsift.sources import files
 from formsift.streaming import stream
 
@@ -162,6 +164,34 @@ def test_reconcile_equals_plain_loops(spark):
     assert got == wants
 
 
+def test_fold_and_phones_over_all_rows(spark):
+    where = "/root/testdata/sf0.001"
+    by_doc = defaultdict(list)
+    for r in sorted(queries.built(spark, where, queries.LINES).collect(), key=lambda r: (r["doc_id"], r["ord"])):
+        by_doc[r["doc_id"]].append(r)
+    order = {"regex": 2, "deberta": 3, "llm/context": 1}
+    want, crowded = Counter(), 0
+    for key, found in by_doc.items():
+        held = {}
+        for r in found:
+            new = (float(r["confidence"]), float(r["score"]), r["source"], False)
+            if r["value"] in held:
+                crowded += held[r["value"]][3]
+                rank = lambda e: (round(e[0] + 0.3 * e[1] + 0.1 + 0.1 * e[3], 9), order.get(e[2], 0), e[0])
+                new = (*max(held[r["value"]], new, key=rank)[:3], True)  # the holder stays where both are equal
+            held[r["value"]] = new
+        want.update((key, value, e[3], e[2]) for value, e in held.items())
+    assert crowded > 50  # values seen three times and more
+    assert Counter(tuple(r) for r in queries.QUERIES["dedup_fold"](spark, where).collect()) == want
+    raw = queries.built(spark, where, queries.RAW).collect()
+    plain = {}
+    for r in raw:
+        digits = re.sub(r"\D", "", r["value"])
+        plain[r["id"]] = digits[2:] if len(digits) == 12 and digits.startswith("91") else digits
+    got = {r["id"]: r["phone"] for r in queries.QUERIES["normalize_phone_values"](spark, where).collect()}
+    assert got == plain and len(got) == spark.read.parquet(f"{where}/customer.parquet").count()
+
+
 CONFIDENCE = [
     ("regex", 0.97, True, False, 0.95, "high"), ("regex", 0.97, True, True, 1.0, "high"), ("ocr+regex", 0.1, True, False, 0.85, "medium"), ("ocr+regex", 0.1, True, True, 0.95, "high"),
     ("deberta", 0.83, True, False, 0.88, "medium"), ("deberta", 0.95, True, True, 1.0, "high"), ("nlp", 0.0, True, False, 0.70, "medium"), ("llm/context", 0.82, True, False, 0.87, "medium"),
