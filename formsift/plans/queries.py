@@ -614,6 +614,24 @@ def token_label_align(forms):
     return forms.select("doc_id", F.posexplode(prep.token_labels(offsets, entities)).alias("pos", "label"))
 
 
+#: LABELLED with whole texts.
+LABELLED_WHOLE = f"SELECT doc_id, text, CAST(instr(text, 'user') - 1 AS INT) AS place FROM ({FORMS}) AS f WHERE instr(text, 'user') > 0"
+
+
+@query("bio_char_labels_whole", None, LABELLED_WHOLE)
+def bio_char_labels_whole(forms):
+    return bio_char_labels(forms)
+
+
+@query("token_label_align_whole", None, LABELLED_WHOLE)
+def token_label_align_whole(forms):
+    """Tokens as in token_label_align, up to the end of the text."""
+    last = F.ceil(F.length("text") / 3).cast("int") - 1
+    ends = lambda i: F.least(F.when(i % 10 == 9, i * 3).otherwise(i * 3 + 3), F.length("text"))
+    offsets = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * 3).alias("start"), ends(i).alias("end")))
+    return forms.select("doc_id", F.posexplode(prep.token_labels(offsets, F.slice(_labelled(forms), 1, 3))).alias("pos", "label"))
+
+
 CARDS = f"SELECT k AS id, c_name AS Name, email AS Email, phone AS Phone, CASE WHEN k % 4 = 0 THEN NULL ELSE 'Sector 15' END AS Address, aadhaar AS Aadhaar, pan AS PAN, d || '/' || m || '/' || y AS DOB FROM ({PARTS}) AS p"
 
 

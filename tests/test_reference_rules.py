@@ -354,6 +354,22 @@ def xlsx():
     return out.getvalue()
 
 
+def test_whole_texts_are_labelled(spark):
+    where = "/root/testdata/sf0.001"
+    forms = {r["doc_id"]: (len(r["text"]), r["place"]) for r in queries.built(spark, where, queries.LABELLED_WHOLE).collect()}
+    assert any(place > 90 for _, place in forms.values())
+    chars, tokens = defaultdict(dict), defaultdict(dict)
+    for r in queries.QUERIES["bio_char_labels_whole"](spark, where).collect():
+        chars[r["doc_id"]][r["pos"]] = r["label"]
+    for r in queries.QUERIES["token_label_align_whole"](spark, where).collect():
+        tokens[r["doc_id"]][r["pos"]] = r["label"]
+    for key, (n, place) in forms.items():
+        assert sorted(chars[key]) == list(range(n)) and sorted(tokens[key]) == list(range((n + 2) // 3))
+        assert {p: x for p, x in chars[key].items() if x.endswith("EMAIL")} == {p: "I-EMAIL" if p > place else "B-EMAIL" for p in range(place, place + 8)}
+        meets = {i for i in range((n + 2) // 3) if i % 10 != 9 and i * 3 < place + 8 and min(i * 3 + 3, n) > place}
+        assert {i for i, x in tokens[key].items() if x in (7, 8)} == meets
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(docx("Name: Asha", "Mobile 9876543210", table=[("PAN", "ABCDE1234F"), ("", "x")]))
     (tmp_path / "b.xlsx").write_bytes(xlsx())
