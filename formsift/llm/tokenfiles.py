@@ -315,10 +315,10 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
             for content in batch.column(0):
                 if content.as_buffer().size:
                     shard = ShardReader(content.as_buffer().to_pybytes())
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard.shard], pa.int32()), "n": pa.array([shard.n_ids], pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard.shard], pa.int64()), "n": pa.array([shard.n_ids], pa.int64())})
 
     base, at = {}, 0
-    for shard, n in sorted(files.select("content").mapInArrow(totals, "shard int, n bigint").collect()):
+    for shard, n in sorted(files.select("content").mapInArrow(totals, "shard bigint, n bigint").collect()):
         base[shard] = at
         at += n
 

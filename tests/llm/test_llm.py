@@ -128,6 +128,18 @@ def test_token_files(spark, docs, empty):
     assert tokenfiles.token_file_digests(empty, vocabulary(WORD_BPE)).count() == 0
 
 
+def test_shard_numbers_beyond_32_bits(spark):
+    path = shared_path(spark, "far")
+    frames = []
+    for shard in (8191 << tokenfiles.SUB_BITS, 9000 << tokenfiles.SUB_BITS):
+        out = tokenfiles.ShardWriter(shard, 64, 1)
+        parts = [*out.start(), *out.add(shard, np.array([5, 6, 2], "<u4"))]
+        frames.append((bytearray(b"".join([*parts, *out.finish()])),))
+    write_frames(spark.createDataFrame(frames, "frame binary").coalesce(1), path, per_file=1)
+    got = sorted((r["key"], r["start"], r["n_tokens"]) for r in rows_of(tokenfiles.read_tokens(spark, path)))
+    assert got == [(8191 << tokenfiles.SUB_BITS, 0, 3), (9000 << tokenfiles.SUB_BITS, 3, 3)]
+
+
 def test_shards_by_binary_search(spark):
     for bounds in ([], [5], [-3, 0, 7], list(range(0, 999, 3))):
         keys = [None, -10, *range(-5, 1010)]
