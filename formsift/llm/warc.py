@@ -19,6 +19,7 @@ equal payloads' ids; such rows never stand for others that have an id)."""
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import zlib
@@ -126,11 +127,39 @@ def inflate(raw: memoryview, at: int, limit: int) -> tuple[bytes, int] | None:
     return b"".join(parts), pos - len(unzip.unused_data)
 
 
+def inflated_part(raw: memoryview, at: int, limit: int) -> bytes:
+    """What comes out of a damaged gzip member before its damage, limit bytes at most."""
+    for step in (WINDOW, 1):
+        unzip, parts, n, pos = zlib.decompressobj(31), [], 0, at
+        # The second time, the window that fails goes in byte by byte.
+        stop = len(raw) if step > 1 else at + (failed - at) // WINDOW * WINDOW
+        with contextlib.suppress(zlib.error):
+            while pos < len(raw) and n <= limit and not unzip.eof:
+                piece = raw[pos : pos + (WINDOW if pos < stop else 1)]
+                parts.append(unzip.decompress(piece))
+                pos += len(piece)
+                n += len(parts[-1])
+        failed = pos
+    return b"".join(parts)[:limit]
+
+
+def verified(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records in data, wherever they begin, whose block agrees with a digest in their head."""
+    pos = 0
+    while pos >= 0:
+        one = parse_record(data, pos)
+        if not isinstance(one, str) and "warc-block-digest" in one[0]:
+            yield one[:2]
+        pos = data.find(VERSION, pos + 1) if isinstance(one, str) else one[2]
+        if pos >= len(data):
+            break
+
+
 def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
     """(head, block, end) of the record at a place, or what is wrong with it."""
     if not data.startswith(VERSION, at):
         return "no version line"
-    stop = data.find(b"\r\n\r\n", at, at + (1 << 20))
+    stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         return "head without end"
     head: dict[str, str] = {}
@@ -157,23 +186,24 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]
 
 def salvage(content: bytes, limit: int = MAX_RECORD) -> Iterator[tuple[str, object]]:
     """("record", (from, to, head, block)) and ("gap", (from, to, reason)) of an
-    archive, in order; together they cover every byte but padding."""
+    archive, in order; together they cover every byte but padding. Records saved
+    from inside a damaged member come before the gap that tells of the damage."""
     raw, at, bad, why = memoryview(content), 0, -1, ""
     marks = re.compile(re.escape(MAGIC) + b"|" + re.escape(VERSION))
     while at < len(content):
         got: list[tuple[dict, bytes]] | str
-        end = at
+        end, left = at, b""
         if content.startswith(MAGIC, at):
             found = inflate(raw, at, limit)
             if found is None:
-                got = "damaged gzip member"
+                got, left = "damaged gzip member", inflated_part(raw, at, limit)
             else:
                 data, end = found
                 got, pos = [], 0
                 while pos < len(data):
                     one = parse_record(data, pos)
                     if isinstance(one, str):
-                        got = one
+                        got, left = one, data
                         break
                     got.append(one[:2])
                     pos = one[2]
@@ -187,7 +217,10 @@ def salvage(content: bytes, limit: int = MAX_RECORD) -> Iterator[tuple[str, obje
             if bad < 0:
                 bad, why = at, got
             following = marks.search(content, at + 1)
-            at = following.start() if following else len(content)
+            after = following.start() if following else len(content)
+            for head, block in verified(left):
+                yield "record", (at, after, head, block)
+            at = after
             continue
         if bad >= 0:
             yield "gap", (bad, at, why)

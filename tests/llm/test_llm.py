@@ -548,6 +548,18 @@ def test_salvage_recovers_records_around_damage():
     assert names_and_gaps(bare)[0] == list(range(6))
 
 
+def test_salvage_saves_records_inside_members():
+    data = records()
+    broken = bytearray(data[2])
+    broken[-20] ^= 1
+    assert names_and_gaps(warc.member(b"".join([*data[:2], bytes(broken), *data[3:6]])) + warc.member(data[6]))[0] == [0, 1, 3, 4, 5, 6]
+    many = warc.member(b"".join(data))
+    names, gaps = names_and_gaps(many[: len(many) * 3 // 4])
+    assert len(names) >= 5 and names == list(range(len(names))) and gaps == [(0, len(many) * 3 // 4)]
+    far = warc.record("resource", "http://a.example/" + "x" * (2 << 20), "<urn:long>", b"block", warc.sha1_field(b"block"))
+    assert [k for k, _ in warc.salvage(warc.member(far))] == ["record"]
+
+
 def test_frames_are_written_as_they_are(spark):
     frames = [bytes(range(256)) + b"\0", b"\xff\0", b"\0", warc.member(b"q" * ((1 << 24) + 5))]
     path = shared_path(spark, "frames")
