@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -30,23 +31,80 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent (single-machine tests) it is set to a local folder."""
+    Only where the session runs in one process (tests) may the setting be
+    absent; then it is set to a local folder. On a cluster its absence is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='formsift-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/formsift/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Lets a finished write give back the disk of its own shuffles; if they are asked for again, Spark reruns those stages.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: work is done once, lineage
-    is cut, and a lost executor costs no recomputation of what came before."""
+    is cut, and a lost executor costs no recomputation of what came before. The
+    shuffles of that work are given back at once."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path = path or shared_path(spark, name)
+    before = spark.conf.get(_CLEAN, None)
+    try:
+        spark.conf.set(_CLEAN, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Staged tables of one piece of work. All are deleted when it ends, so what
+    its result still reads must be staged elsewhere."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.paths = spark, shared_path(spark, name), {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{len(self.paths)}-{name}"
+        out = staged(df, name, path)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete some of the tables early."""
+        for path in [p for p, kept in self.paths.items() if any(kept is t for t in tables)]:
+            self.paths[path] = None
+            delete(self.spark, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

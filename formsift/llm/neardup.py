@@ -1,20 +1,26 @@
-"""Near-duplicates by the similarity of their five-word shingles, all of them.
+"""Near-duplicates by SimHash, confirmed and completed by shingle similarity.
 
 Words as in simhash; a text's set holds the hashes of its shingles of five words
 (fewer words: the whole sequence; none: the empty set). Two texts are linked if
 the Jaccard similarity of their sets is 0.8 or more; texts of equal sets are one.
 
-Candidates: order all hashes by how often they occur, rare ones first. Of n
+Candidates come from two places. Covering tables over the SimHash of the same
+shingles bring together what differs by at most two bits, most copies and crowds
+of near copies. Two bits leave out most texts of similarity 0.8, so an exact way
+finds the rest: order all hashes by how often they occur, rare ones first. Of n
 hashes two linked texts share one among the first n - ceil(0.8 n) + 1 of each,
 so buckets of these prefixes hold every linked pair. Any order will do for that;
 counts are kept in SLOTS sums, whatever the size of the input, and only make
-common hashes rare in prefixes. What
-precedes the first shared hash differs, which rules out most of them; the rest
-is confirmed on the whole sets.
+common hashes rare in prefixes. What precedes the first shared hash differs,
+which rules out most of them. All candidates are confirmed on the whole sets.
 
 A bucket of over BUCKET sets is not paired out: all are compared with LEADERS of
 its sets and components are taken; what is then still in different components
-is compared in full. So a crowd of near copies costs a multiple of its size."""
+is compared in full. So a crowd of near copies costs a multiple of its size.
+
+Null text counts as empty, and texts without words are one group; a null key is
+less than any other. Very long texts have long sets but no other path. Repeated
+rows are one. An empty table gives an empty result. Columns of any names stay."""
 
 from __future__ import annotations
 
@@ -24,32 +30,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formsift.llm.bpe import slices
-from formsift.llm.common import prepare, staged
-from formsift.llm.simhash import SEED, components
+from formsift.llm.common import Scratch, fresh, prepare, staged
+from formsift.llm.simhash import SEED, components, links, majority, shingle_hashes
 
 SHINGLE = 5
 #: Similarity asked for, as a fraction.
 PART, WHOLE = 4, 5
-SLOTS, FILTER_BITS = 1 << 18, 1 << 22
+SLOTS, LEAST_BITS, MOST_BITS = 1 << 18, 1 << 22, 1 << 28
 BUCKET, LEADERS, SALTS = 32, 8, 64
 #: Constants whose xor gives each leader its own order.
 TURNS = [(0x9E3779B97F4A7C15 * i) % (1 << 63) for i in range(LEADERS)]
 
 
-def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
-    """Distinct hashes of the text's shingles, ascending, as signed 64-bit numbers."""
-    from xxhash import xxh64_intdigest
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The set of a text's hashes, ascending, as signed 64-bit numbers."""
+    return np.unique(hashes.view(np.int64))
+
 
-    words = text.encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    line = b" ".join(words)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(size + 1) - 1
-    starts = ends - size
-    last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
-    hashes = [xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[: len(last)].tolist(), last.tolist())]
-    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    return distinct(shingle_hashes(text, shingle))
 
 
 def set_name(found: np.ndarray) -> int:
@@ -88,22 +87,35 @@ def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def named(docs: DataFrame, key: str, text: str, counts: np.ndarray) -> DataFrame:
-    """(key, s, n, tokens): name and size of each text's set, and its prefix."""
+    """(key, s, n, fp, tokens): name, size and SimHash of each text's set, and its prefix."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                sets = [shingle_set(t or "") for t in part.column(1).to_pylist()]
+                hashes = [shingle_hashes(t or "", SHINGLE) for t in part.column(1).to_pylist()]
+                prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+                sets = [distinct(h) for h in hashes]
                 first = [prefix(x, counts) for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([set_name(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))], [key, "s", "n", "tokens"]
+                    [part.column(0), pa.array([set_name(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(prints), pa.array(first, pa.list_(pa.int64()))], [key, "s", "n", "fp", "tokens"]
                 )
 
     source = docs.select(key, text)
-    empty = {"s": F.lit(0).cast("bigint"), "n": F.lit(0), "tokens": F.array().cast("array<bigint>")}
+    empty = {"s": F.lit(0).cast("bigint"), "n": F.lit(0), "fp": F.lit(0).cast("bigint"), "tokens": F.array().cast("array<bigint>")}
     return source.mapInArrow(run, source.drop(text).withColumns(empty).schema)
 
 
+def print_pairs(ids: DataFrame) -> DataFrame:
+    """(a, b) sets of SimHash at most two bits apart, as chains: all sets of a
+    fingerprint hang on its least, and those on each other by the covering tables."""
+    both = ids.select("s", "fp").distinct()
+    least = both.groupBy("fp").agg(F.min("s").alias("lead"))
+    same = both.join(least, "fp").where("s <> lead").select(F.col("lead").alias("a"), F.col("s").alias("b"))
+    near = links(least.select("fp"))
+    one, two = least.select(F.col("fp").alias("a"), F.col("lead").alias("x")), least.select(F.col("fp").alias("b"), F.col("lead").alias("y"))
+    return same.union(near.join(one, "a").join(two, "b").select(F.least("x", "y"), F.greatest("x", "y")))
+
+
 def may_link(n, i, m, j):
     """Whether sets of sizes n and m can be similar enough if the first hash they
     share is the i-th of one and the j-th of the other (from 0): what precedes it
@@ -156,28 +168,29 @@ def bucket_pairs(rows: DataFrame, most: int) -> DataFrame:
 
 
 def needed_filter(found: DataFrame) -> np.ndarray:
-    """Bits of the names in found (column s); a set bit may stand for several."""
-    at = F.col("s").bitwiseAND(F.lit(FILTER_BITS - 1).cast("bigint"))
-    rows = found.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS + (1 << 16), bool)
+    """Bits of the names in found (column s); a set bit may stand for several. As
+    many bits as suit their number, MOST_BITS (32 MiB) at most: then more pass than need."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * found.count()).bit_length()))
+    at = F.col("s").bitwiseAND(F.lit(size - 1).cast("bigint"))
+    rows = found.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator()
+    out = np.zeros(size + (1 << 16), bool)
     for r in rows:
         # Bucket k begins at (k - 1) * 32768; position 0 belongs to bucket 0.
         bits = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
         start = max(0, r["k"] - 1) * 32768 + (1 if r["k"] else 0)
         out[start : start + len(bits)] |= bits.astype(bool)
-    return out
+    return np.packbits(out[:size])
 
 
 def whole_sets(docs: DataFrame, text: str, needed: np.ndarray) -> DataFrame:
     """(s, tokens) of the sets that pass the filter."""
-    packed = np.packbits(needed)
+    last = len(needed) * 8 - 1
 
     def run(batches):
-        wanted = np.unpackbits(packed).astype(bool)
         for batch in batches:
             for part in slices(batch):
-                sets = [x for t in part.column(0).to_pylist() for x in [shingle_set(t or "")]]
-                kept = [(h, x) for x in sets for h in [set_name(x)] if wanted[h & (FILTER_BITS - 1)]]
+                sets = [shingle_set(t or "") for t in part.column(0).to_pylist()]
+                kept = [(h, x) for x in sets for h in [set_name(x)] if needed[(h & last) >> 3] >> (7 - (h & 7)) & 1]
                 if kept:
                     yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.list_(pa.int64()))], ["s", "tokens"])
 
@@ -198,45 +211,50 @@ def similar_groups(docs: DataFrame, key: str, text: str, most: int = BUCKET) ->
     counts = slot_counts(docs, text)
     usual = 1000 + 2 * int(counts.mean())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = staged(named(docs, key, text, counts), "sets")
-    own = staged(ids.groupBy("s").agg(F.min(key).alias("low")), "names")
-    hot = np.flatnonzero(counts > usual)
-    common = F.array_contains(F.lit([int(x) for x in hot]), F.col("token").bitwiseAND(F.lit(SLOTS - 1).cast("bigint"))) if len(hot) else F.lit(False)
-    rows = ids.select("s", "n", F.posexplode("tokens").alias("i", "token"))
-    rows = rows.select("token", F.when(common, F.pmod("s", F.lit(SALTS))).otherwise(F.lit(-1)).cast("int").alias("salt"), "s", "n", "i")
-    dealt = rows.repartition(parts, "token", "salt").dropDuplicates(["token", "salt", "s"]).sortWithinPartitions("token", "s")
-    found = staged(bucket_pairs(dealt, most), "pairs")
-    direct = found.where("b IS NOT NULL").select("a", "b").distinct()
-    large = found.where("b IS NULL").select("token", F.col("a").alias("s"), "n", "i")
-    # Those with the fewest rarer hashes are nearest to all others of a crowd.
-    turned = [F.col("s").bitwiseXOR(F.lit(t).cast("bigint")) for t in TURNS]
-    first = large.groupBy("token").agg(F.array(*[F.min(F.struct("i", x.alias("s")))["s"].bitwiseXOR(F.lit(t).cast("bigint")) for x, t in zip(turned, TURNS)]).alias("leaders"))
-    led = large.join(staged(first, "leaders"), "token").select("s", F.explode(F.array_distinct("leaders")).alias("l")).where("s <> l")
-    led = led.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
-    pairs = staged(direct.union(led).distinct(), "candidates")
-    needed = needed_filter(pairs.select(F.col("a").alias("s")).union(pairs.select("b")).union(large.select("s")))
-    sets = staged(whole_sets(docs, text, needed), "whole")
-    edges = staged(confirmed(pairs, sets), "edges")
-    # What leaders left in different components is compared in full.
-    roots = staged(components(edges), "roots")
-    placed = large.join(roots, F.col("s") == F.col("node"), "left").select("token", "s", "n", "i", F.coalesce("root", "s").alias("c"))
-    split = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    split = staged(placed.join(split, "token"), "split")
-    a, b = split.alias("a"), split.alias("b")
-    apart = (F.col("a.token") == F.col("b.token")) & (F.col("a.s") < F.col("b.s")) & (F.col("a.c") != F.col("b.c")) & may_link(*[F.col(x) for x in ("a.n", "a.i", "b.n", "b.i")])
-    late = staged(a.join(b, apart).select(F.col("a.s").alias("a"), F.col("b.s").alias("b")).distinct(), "late")
-    more = confirmed(late.join(pairs, ["a", "b"], "left_anti"), sets)
-    roots = staged(components(edges.union(more)), "roots")
-    groups = own.join(roots, F.col("s") == F.col("node"), "left").groupBy(F.coalesce("root", "s")).agg(F.min("low").alias("component"))
-    return groups.select("component")
+    with Scratch(spark, "similar") as scratch:
+        ids = scratch.write(named(docs, key, text, counts), "sets")
+        own = scratch.write(ids.groupBy("s").agg(F.min(key).alias("low")), "names")
+        hot = np.flatnonzero(counts > usual)
+        common = F.array_contains(F.lit([int(x) for x in hot]), F.col("token").bitwiseAND(F.lit(SLOTS - 1).cast("bigint"))) if len(hot) else F.lit(False)
+        rows = ids.select("s", "n", F.posexplode("tokens").alias("i", "token"))
+        rows = rows.select("token", F.when(common, F.pmod("s", F.lit(SALTS))).otherwise(F.lit(-1)).cast("int").alias("salt"), "s", "n", "i")
+        dealt = rows.repartition(parts, "token", "salt").dropDuplicates(["token", "salt", "s"]).sortWithinPartitions("token", "s")
+        found = scratch.write(bucket_pairs(dealt, most), "pairs")
+        prints = scratch.write(print_pairs(ids), "prints")
+        scratch.drop(ids)
+        direct = found.where("b IS NOT NULL").select("a", "b").union(prints)
+        large = found.where("b IS NULL").select("token", F.col("a").alias("s"), "n", "i")
+        # Those with the fewest rarer hashes are nearest to all others of a crowd.
+        turned = [F.col("s").bitwiseXOR(F.lit(t).cast("bigint")) for t in TURNS]
+        first = large.groupBy("token").agg(F.array(*[F.min(F.struct("i", x.alias("s")))["s"].bitwiseXOR(F.lit(t).cast("bigint")) for x, t in zip(turned, TURNS)]).alias("leaders"))
+        led = large.join(scratch.write(first, "leaders"), "token").select("s", F.explode(F.array_distinct("leaders")).alias("l")).where("s <> l")
+        led = led.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
+        pairs = scratch.write(direct.union(led).distinct(), "candidates")
+        needed = needed_filter(pairs.select(F.col("a").alias("s")).union(pairs.select("b")).union(large.select("s")).distinct())
+        sets = scratch.write(whole_sets(docs, text, needed), "whole")
+        edges = scratch.write(confirmed(pairs, sets), "edges")
+        # What leaders left in different components is compared in full.
+        roots = components(edges)
+        placed = large.join(roots, F.col("s") == F.col("node"), "left").select("token", "s", "n", "i", F.coalesce("root", "s").alias("c"))
+        split = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
+        split = scratch.write(placed.join(split, "token"), "split")
+        a, b = split.alias("a"), split.alias("b")
+        apart = (F.col("a.token") == F.col("b.token")) & (F.col("a.s") < F.col("b.s")) & (F.col("a.c") != F.col("b.c")) & may_link(*[F.col(x) for x in ("a.n", "a.i", "b.n", "b.i")])
+        late = scratch.write(a.join(b, apart).select(F.col("a.s").alias("a"), F.col("b.s").alias("b")).distinct(), "late")
+        more = confirmed(late.join(pairs, ["a", "b"], "left_anti"), sets)
+        roots = components(edges.union(more))
+        groups = own.join(roots, F.col("s") == F.col("node"), "left").groupBy(F.coalesce("root", "s")).agg(F.min("low").alias("component"))
+        return staged(groups.select("component"), "groups")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest key,
-    then the smallest text hash; of rows equal in both, one. All columns stay."""
+    """One document of each group of near-duplicates: that with the smallest key
+    (null first), then the smallest text hash; of rows equal in both, one. All
+    columns stay, whatever their names."""
     # try_add: a nullable hash, as in the written table, so that keys need no cast.
     who = F.struct(F.col(key).alias("k"), F.try_add(F.xxhash64(text), F.lit(0).cast("bigint")).alias("h"))
-    keepers = similar_groups(docs.select(who.alias("who"), F.col(text)), "who", text).select(F.col("component").alias("__keeper"))
+    mark, keeper = fresh(docs, "who", "keeper")
+    keepers = similar_groups(docs.select(who.alias("who"), F.col(text).alias("text")), "who", "text").select(F.col("component").alias(keeper))
     # Joined and made distinct by the same column, so the texts are dealt once.
-    marked = docs.withColumn("__who", who)
-    return marked.join(keepers, F.col("__who") == F.col("__keeper"), "left_semi").dropDuplicates(["__who"]).drop("__who")
+    marked = docs.withColumn(mark, who)
+    return marked.join(keepers, F.col(mark) == F.col(keeper), "left_semi").dropDuplicates([mark]).drop(mark)

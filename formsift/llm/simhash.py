@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formsift.llm.bpe import slices
-from formsift.llm.common import prepare, staged
+from formsift.llm.common import Scratch, prepare, staged
 
 RADIUS, BITS, SHINGLE, SEED = 2, 64, 3, 42
 #: Rows of a bucket that are compared with each other directly.
@@ -52,22 +52,32 @@ def bit_table() -> np.ndarray:
 _BYTE_BITS = bit_table()
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of a text, in order and with repeats."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts = ends - size
-    n = max(1, len(words) - shingle + 1)
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
-    hashes = [xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())]
-    raw = np.array(hashes, "<u8").view(np.uint8).reshape(n, 8)
+    return np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[: len(last)].tolist(), last.tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half of the hashes; of none, zero."""
+    if not len(hashes):
+        return 0
+    raw = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(raw[:, p], minlength=256) @ _BYTE_BITS for p in range(8)])
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -173,28 +183,31 @@ def links(prints: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataFr
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of its component, for each node with an edge (a < b)."""
-    now = staged(edges.select("a", "b"), "edges")
-    mark = None
-    while True:
-        size = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("bigint")).alias("h"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if size == mark:
-            return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a"), F.col("a")).distinct())
-        mark = size
-        # Large star: each node's larger neighbours join its smallest neighbour (or itself).
-        both = now.union(now.select(F.col("b"), F.col("a")))
-        low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        up = now.join(low, F.col("a") == F.col("u")).select(F.least("u", "m").alias("a"), "b").distinct()
-        # Small star: each node and its smaller neighbours join the smallest of them.
-        low = up.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
-        down = up.join(low, F.col("b") == F.col("u")).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-        now = staged(down.where("a < b").distinct(), "edges")
+    """(node, root): the smallest node of its component, for each node with an edge
+    (a < b). Written; of the rounds' tables only the last stays while it is read."""
+    with Scratch(edges.sparkSession, "components") as scratch:
+        now = scratch.write(edges.select("a", "b"), "edges")
+        mark = None
+        while True:
+            size = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("bigint")).alias("h"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+            if size == mark:
+                return staged(now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a"), F.col("a")).distinct()), "roots")
+            mark = size
+            # Large star: each node's larger neighbours join its smallest neighbour (or itself).
+            both = now.union(now.select(F.col("b"), F.col("a")))
+            low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+            up = now.join(low, F.col("a") == F.col("u")).select(F.least("u", "m").alias("a"), "b").distinct()
+            # Small star: each node and its smaller neighbours join the smallest of them.
+            low = up.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
+            down = up.join(low, F.col("b") == F.col("u")).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
+            last, now = now, scratch.write(down.where("a < b").distinct(), "edges")
+            scratch.drop(last)
 
 
 def groups(prints: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """(fp, component): the smallest key among all rows of linked fingerprints."""
     own = staged(prints.groupBy("fp").agg(F.min(key).alias("low")), "prints")
-    roots = staged(components(links(own.select("fp"), radius)), "roots")
+    roots = components(links(own.select("fp"), radius))
     named = roots.join(own, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("low").alias("name"))
     linked = roots.join(named, "root").select("node", "name", F.lit(True).alias("linked"))
     return own.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.when(F.col("linked"), F.col("name")).otherwise(F.col("low")).alias("component"))
@@ -207,15 +220,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = staged(groups(prints), "groups").withColumnRenamed("fp", "group_fp")
     joined = prints.join(named, F.col("fp") == F.col("group_fp"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest key,
-    then the smallest text hash; of rows equal in both, one. All columns stay."""
-    # try_add: a nullable hash, as in the written table, so that keys need no cast.
-    who = F.struct(F.col(key).alias("k"), F.try_add(F.xxhash64(text), F.lit(0).cast("bigint")).alias("h"))
-    prints = staged(fingerprints(docs.select(who.alias("who"), F.col(text)), "who", text), "fingerprints")
-    keepers = groups(prints, "who").select(F.col("component").alias("__keeper"))
-    # Joined and made distinct by the same column, so the texts are dealt once.
-    marked = docs.withColumn("__who", who)
-    return marked.join(keepers, F.col("__who") == F.col("__keeper"), "left_semi").dropDuplicates(["__who"]).drop("__who")

@@ -4,6 +4,7 @@ nulls, empty and long texts, ties, repeated rows, empty tables and clashing colu
 import gzip
 import hashlib
 import html as entities
+import os
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from formsift.llm import bpe, chat, neardup, packing, pages, quality, secrets, simhash, tokenfiles, warc, winnow
-from formsift.llm.common import shard_of, shared_path, write_frames
+from formsift.llm.common import Scratch, shard_of, shared_path, write_frames
 from formsift.llm.queries import vocabulary
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -589,10 +590,9 @@ def test_pipeline_equals_brute_force(spark, docs, tmp_path):
         seen.append(rows_of(now))
     verdicts = Counter((r["doc_id"], r["n_words"]) for r in rows_of(quality.quality_verdicts(all_docs)) if r["kept"])
     assert Counter((r["doc_id"], slow_statistics(r["text"] or "")[0]) for r in seen[0]) == verdicts
-    prints = {i: slow_fingerprint(r["text"]) for i, r in enumerate(seen[0])}
-    group, best = slow_components(prints), {}
-    for i, r in enumerate(seen[0]):
-        best.setdefault(group[prints[i]], set()).add(r["doc_id"])
+    best = {}
+    for root, r in zip(slow_similar([r["text"] for r in seen[0]]), seen[0]):
+        best.setdefault(root, set()).add(r["doc_id"])
     assert Counter(r["doc_id"] for r in seen[1]) == Counter(min(x, key=lambda k: (k is not None, k or 0)) for x in best.values())
     kept = {r["doc_id"]: r for r in seen[1]}
     for r in seen[2]:
@@ -603,6 +603,33 @@ def test_pipeline_equals_brute_force(spark, docs, tmp_path):
     check_packing(run, [(r["doc_id"], r["text"]) for r in seen[2]])
 
 
+def test_stages_keep_clashing_columns(spark):
+    names = "secrets kept host fp __who __keeper who keeper k0 __text text_ s tokens component stats base_failed".split()
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, text if i < 3 else f"{text} token = abcdefghijkl0123", "en", f"s{i}", 1, *[f"{n}{i}" for n in names]) for i in range(4)]
+    now = spark.createDataFrame(rows, f"{DOCS}, {', '.join(f'{n} string' for n in names)}")
+    columns = now.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, "")
+        assert now.columns == columns
+    assert [r["doc_id"] for r in rows_of(now)] == [0] and all(now.first()[n] == f"{n}0" for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, now, "").count() == 1
+
+
+def test_scratch_tables_are_deleted(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(99)}" for _ in range(90)) for _ in range(20)]
+    near = neardup.keep_one(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts * 2)], DOCS))
+    assert near.count() == 20
+    with Scratch(spark, "tested") as scratch:
+        a, b = (scratch.write(spark.range(n), "rows") for n in (3, 4))
+        scratch.drop(a)
+        assert b.count() == 4
+        left = [p for p, _, _ in os.walk(scratch.path.removeprefix("file://"))]
+        assert len(left) == 2
+    assert not os.path.exists(scratch.path.removeprefix("file://"))
+
+
 def test_stages_on_an_empty_table_and_nulls(spark, empty):
     nulls = spark.createDataFrame([(None, None, None, None, None)] * 2, DOCS)
     for df in (empty, nulls):
