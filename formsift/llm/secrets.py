@@ -1,20 +1,28 @@
 """Secret scans by grammar inference.
 
-1. One pass over whole texts finds the base rules' matches (leftmost, not
-   overlapping within a kind) and every other run of credential letters that
-   has a digit: the candidates.
+1. A first pass over whole texts finds the base rules' matches (leftmost, not
+   overlapping within a kind) and the candidates: every run of 12 or more
+   credential letters, whatever it holds and wherever it stands, without full
+   stops at its end. Each task keeps the labelled strings with the smallest hashes
+   and counts the characters of all other candidates in context.
 2. Labelled credentials (the base matches, and strings drawn from published
    token formats) are read into one prefix tree per kind, over classes of
    characters. States whose endings and continuations agree within the Hoeffding
-   bound, and so on below them, are merged: a probabilistic automaton. Candidates
-   that touch no base match give a background automaton in the same way.
-3. Every candidate is scored by each format's likelihood. It is a secret if the
-   best format beats the background by MARGIN nats and is as likely a letter
-   as the format's own labelled strings are.
-
-Training reads at most MAX_LABELLED strings a kind, those with the smallest
-hashes of all distinct ones; all else covers every row. Null text counts as
-empty. Offsets are code points, ends exclusive."""
+   bound, and so on below them, are merged: a probabilistic automaton. The
+   background is an automaton too, with one state for each two last classes; its
+   counts are of all candidates of the corpus that hold no base match and don't
+   look like a published format.
+3. A second pass scores every candidate by each format's likelihood. It is a secret
+   if a format beats the background by MARGIN nats and finds it as likely a letter
+   as its own labelled strings are. Its span is added unless a base match covers
+   it: a base match inside a longer credential stays and the whole gets a span.
+
+Training reads at most MAX_LABELLED labelled strings a kind, those with the
+smallest hashes of all distinct ones (a documented bound); all else covers every
+row. Offsets are code points, ends exclusive. Spans that begin together stand in
+the order assign, access, hex, learned. Null text counts as empty; texts of any
+length are scanned whole; repeated rows and equal tokens are found each; an empty
+table gives an empty result; columns of any names stay."""
 
 from __future__ import annotations
 
@@ -24,12 +32,12 @@ import re
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from formsift.llm.bpe import slices
-from formsift.llm.common import prepare, staged
+from formsift.llm.common import fresh, prepare
 
 #: Base rules: kind, pattern, group that must have least so many characters, that number (fixed values).
 BASE = (
@@ -40,18 +48,20 @@ BASE = (
 #: The same, faster: in a run of these letters a shorter match leaves none that is long enough.
 QUICK = {"access": re.compile(r"AKIA[A-Z0-9]{14,}"), "hex": re.compile(r"[0-9a-f]{16,}")}
 ORDER = {"assign": 0, "access": 1, "hex": 2, "learned": 3}
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-DIGIT = re.compile(r"[0-9]")
-#: Published token formats: fixed start, letters of the rest, lengths of the rest (fixed values).
+LEAST = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.-]{{{LEAST},}}={{0,2}}")
+#: Published token formats: fixed starts, then parts of so many letters of a kind (fixed values).
+DIGITS = "0123456789"
 ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 FORMATS = {
-    "github": (("ghp_", "gho_", "ghs_"), ALNUM, (36,)),
-    "gitlab": (("glpat-",), ALNUM + "-_", (20,)),
-    "google": (("AIza",), ALNUM + "-_", (35,)),
-    "slack": (("xoxb-", "xoxp-"), "0123456789-" + ALNUM, (46, 52)),
-    "stripe": (("sk_live_", "rk_live_"), ALNUM, (24, 32)),
+    "github": (("ghp_", "gho_", "ghs_"), [((ALNUM, 36),)]),
+    "gitlab": (("glpat-",), [((ALNUM + "-_", 20),)]),
+    "google": (("AIza",), [((ALNUM + "-_", 35),)]),
+    "slack": (("xoxb-", "xoxp-"), [((DIGITS, n), ("-", 1), (DIGITS, m), ("-", 1), (ALNUM, 24)) for n in (10, 11, 12, 13) for m in (10, 11, 12, 13)]),
+    "stripe": (("sk_live_", "rk_live_"), [((ALNUM, 24),), ((ALNUM, 32),)]),
 }
-MAX_LABELLED, PER_FORMAT = 400, 60
+STARTS = tuple(s for starts, *_ in FORMATS.values() for s in starts)
+MAX_LABELLED, PER_FORMAT = 400, 320
 ALPHA, MARGIN, SLACK, UNSEEN = 0.05, math.log(1000), 0.15, 1e-4
 
 CLASS = {c: name for name, letters in (("d", "0123456789"), ("x", "abcdef"), ("l", "ghijklmnopqrstuvwxyz"), ("X", "ABCDEF"), ("U", "GHIJKLMNOPQRSTUVWXYZ")) for c in letters}
@@ -61,11 +71,14 @@ WIDTH = {"d": 10, "x": 6, "l": 20, "X": 6, "U": 20}
 def published(per_format: int = PER_FORMAT) -> list[tuple[str, str]]:
     """Labelled strings of the published formats, the same at each call."""
     out = []
-    for kind, (starts, letters, sizes) in FORMATS.items():
+    for kind, (starts, shapes) in FORMATS.items():
         for i in range(per_format):
-            size = sizes[i % len(sizes)]
             seed = hashlib.sha512(f"{kind}/{i}".encode()).digest()
-            out.append((kind, starts[i % len(starts)] + "".join(letters[b % len(letters)] for b in seed[:size])))
+            word, at = starts[i % len(starts)], 0
+            for letters, n in shapes[i // len(starts) % len(shapes)]:
+                word += "".join(letters[b % len(letters)] for b in seed[at : at + n])
+                at += n
+            out.append((kind, word))
     return out
 
 
@@ -160,17 +173,43 @@ class Automaton:
         return total + self.stop[at]
 
 
+class Background:
+    """Automaton of all candidates: a state for each two last classes, the end is a class."""
+
+    def __init__(self, counts: dict[str, int]):
+        total: dict[str, int] = defaultdict(int)
+        for key, n in counts.items():
+            total[key[:2]] += n
+        kinds = len({k[2] for k in counts}) + 1
+        self.step = {k: math.log((n + 0.5) / (total[k[:2]] + 0.5 * kinds)) - math.log(WIDTH.get(k[2], 1)) for k, n in counts.items()}
+        self.rare = {k: math.log(0.5 / (n + 0.5 * kinds)) for k, n in total.items()}
+        self.never = -math.log(kinds)
+
+    def score(self, word: str) -> float:
+        total = 0.0
+        for key in triples(word):
+            found = self.step.get(key)
+            total += self.rare.get(key[:2], self.never) - math.log(WIDTH.get(key[2], 1)) if found is None else found
+        return total
+
+
+def triples(word: str) -> list[str]:
+    """Each class of the word with the two before it; ^ stands before and $ after it."""
+    classes = f"^^{''.join([CLASS.get(c, c) for c in word])}$"
+    return [classes[i : i + 3] for i in range(len(classes) - 2)]
+
+
 class Grammar:
     """Automata of all formats, each with its least score a letter, and the background."""
 
-    def __init__(self, labelled: dict[str, list[str]], background: list[str]):
+    def __init__(self, labelled: dict[str, list[str]], background: dict[str, int]):
         self.formats = {}
         for kind, words in sorted(labelled.items()):
             if len(words) >= 5:
                 automaton = Automaton(words)
                 scores = sorted(automaton.score(w) / len(w) for w in words)
                 self.formats[kind] = (automaton, scores[len(scores) // 50] - SLACK)
-        self.background = Automaton(background or ["0"])
+        self.background = Background(background)
 
     def like(self, word: str) -> bool:
         """Whether a format finds the word as likely as its own."""
@@ -197,109 +236,179 @@ def base_matches(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda x: (x[1], ORDER[x[0]]))
 
 
-def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs of credential letters with a digit that touch no base match."""
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, word) of each run of credential letters."""
     out = []
     for m in CANDIDATE.finditer(text):
-        if DIGIT.search(m[0]) and not any(s < m.end() and m.start() < e for _, s, e, _ in taken):
-            out.append((m.start(), m.end(), m[0]))
+        word = m[0].rstrip(".")
+        if len(word) >= LEAST:
+            out.append((m.start(), m.start() + len(word), word))
     return out
 
 
-_BASE_TYPE = "array<struct<kind:string,start:int,end:int,value:string>>"
-_CANDIDATE_TYPE = "array<struct<start:int,end:int,value:string>>"
-BASE_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
-CANDIDATE_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
+def rank(value: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(value.encode("utf-8", "surrogatepass"))
+
+
+class Gathered:
+    """What training takes from texts: the labelled strings of least rank, and
+    counts of triples of all unlabelled candidates. Bounded whatever it reads."""
+
+    def __init__(self, known: Grammar, most: int):
+        self.known, self.most = known, most
+        self.labelled: dict[str, dict[str, int]] = {kind: {} for kind, *_ in BASE}
+        self.words: dict[str, int] = defaultdict(int)
+        self.counts: dict[str, int] = defaultdict(int)
+
+    def add(self, text: str) -> None:
+        base = base_matches(text)
+        for kind, _, _, value in base:
+            kept = self.labelled[kind]
+            if value not in kept:
+                kept[value] = rank(value)
+                if len(kept) >= 2 * self.most + 100:
+                    self._trim(kind)
+        at = 0
+        ends = sorted((s, e) for _, s, e, _ in base)
+        for start, end, word in candidates(text):
+            while at < len(ends) and ends[at][1] <= start:
+                at += 1
+            if at == len(ends) or ends[at][0] >= end:
+                self.words[word] += 1
+        if len(self.words) > 50_000:
+            self.settle()
+
+    def _trim(self, kind: str) -> None:
+        self.labelled[kind] = dict(sorted(self.labelled[kind].items(), key=lambda x: (x[1], x[0]))[: self.most])
+
+    def settle(self) -> None:
+        for word, n in self.words.items():
+            if not (word.startswith(STARTS) and self.known.like(word)):
+                for key in triples(word):
+                    self.counts[key] += n
+        self.words.clear()
+
+    def rows(self) -> list[tuple[str, str, int]]:
+        """(kind, string, rank) of labelled strings and ("", triple, count)."""
+        self.settle()
+        for kind in self.labelled:
+            self._trim(kind)
+        return [(kind, v, r - (1 << 63)) for kind, kept in self.labelled.items() for v, r in kept.items()] + [("", k, n) for k, n in self.counts.items()]
+
+
+def published_grammar() -> tuple[dict[str, list[str]], Grammar]:
+    known: dict[str, list[str]] = defaultdict(list)
+    for kind, word in published():
+        known[kind].append(word)
+    return known, Grammar(known, {})
 
 
-def scan(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns in keep, __base and __candidates of each row; written once."""
+def fit(df: DataFrame, text: str = "text", most: int = MAX_LABELLED) -> Grammar:
+    """Automata from the labelled credentials and the background of all texts."""
     prepare(df.sparkSession)
-    source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([*source.drop("__text").schema.fields, *df.sparkSession.range(0).select(F.lit(None).cast(_BASE_TYPE).alias("__base"), F.lit(None).cast(_CANDIDATE_TYPE).alias("__candidates")).schema.fields])
 
     def run(batches):
+        gathered = Gathered(published_grammar()[1], most)
         for batch in batches:
             for part in slices(batch):
-                base, rest = [], []
-                for t in part.column(part.num_columns - 1).to_pylist():
-                    found = base_matches(t or "")
-                    base.append([dict(zip(("kind", "start", "end", "value"), x)) for x in found])
-                    rest.append([dict(zip(("start", "end", "value"), x)) for x in candidates(t or "", found)])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(base, BASE_ARROW), pa.array(rest, CANDIDATE_ARROW)], schema.names)
-
-    return staged(source.mapInArrow(run, schema), "scan")
+                for t in part.column(0).to_pylist():
+                    gathered.add(t or "")
+        rows = gathered.rows()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], ["kind", "value", "n"])
 
-
-def sample(values: DataFrame, most: int) -> list[str]:
-    """The distinct values with the smallest hashes, at most so many."""
-    rows = values.where("value IS NOT NULL").distinct().orderBy(F.xxhash64("value"), "value").limit(most).collect()
-    return [r["value"] for r in rows]
-
-
-def fit(scanned: DataFrame, most: int = MAX_LABELLED, formats: bool = True) -> Grammar:
-    """Automata from the labelled credentials and the background of a scan."""
-    labelled: dict[str, list[str]] = defaultdict(list)
-    matches = scanned.select(F.explode("__base").alias("b")).select("b.kind", "b.value")
-    for kind, *_ in BASE:
-        labelled[kind] = sample(matches.where(F.col("kind") == kind).select("value"), most)
-    known: dict[str, list[str]] = defaultdict(list)
-    for kind, word in published() if formats else []:
-        known[kind].append(word)
-    rest = sample(scanned.select(F.explode("__candidates").alias("c")).select("c.value"), most)
-    # What a published format fits is no background, lest a few such tokens hide each other.
-    fits = Grammar(known, []).like
-    return Grammar(labelled | known, [w for w in rest if not fits(w)])
+    found = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "kind string, value string, n bigint")
+    # At most `most` strings a kind and task, and as many triples as there are classes.
+    summed = found.groupBy("kind", "value").agg(F.min("n").alias("least"), F.sum(F.when(F.col("kind") == "", F.col("n"))).alias("n"))
+    first = F.row_number().over(Window.partitionBy("kind").orderBy("least", "value"))
+    rows = summed.withColumn("first", first).where((F.col("kind") == "") | (F.col("first") <= most)).collect()
+    labelled = {kind: [r["value"] for r in rows if r["kind"] == kind] for kind, *_ in BASE}
+    return Grammar(labelled | published_grammar()[0], {r["value"]: r["n"] for r in rows if r["kind"] == ""})
 
 
 SECRETS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 SECRETS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-MASK = "[SECRET]"
+MASK, IN_WORD = "[SECRET]", frozenset(ALNUM + "_-")
 
 
 def masked(text: str, spans: list[dict]) -> str:
-    """text with each stretch that spans cover replaced by MASK."""
+    """text with each stretch that spans cover replaced by MASK. A run of hex digits
+    or an access key inside a longer word takes the whole word with it."""
     out, at = [], 0
     for s in sorted(spans, key=lambda x: (x["start"], x["end"])):
-        if s["end"] <= at:
+        start, end = s["start"], s["end"]
+        if s["kind"] in ("hex", "access"):
+            while start > at and text[start - 1] in IN_WORD:
+                start -= 1
+            end = max(end, at)
+            while end < len(text) and text[end] in IN_WORD:
+                end += 1
+        if end <= at:
             continue
-        if s["start"] >= at:
-            out += [text[at : s["start"]], MASK]
-        at = max(at, s["end"])
+        if start >= at and not (out and start == at):
+            out += [text[at:start], MASK]
+        at = max(at, end)
     return "".join([*out, text[at:]])
 
 
-def find_secrets(df: DataFrame, keep: list[str], text: str = "text", grammar: Grammar | None = None, mask: str | None = None) -> DataFrame:
-    """The columns in keep and `secrets`: (kind, start, end) by start, then kind.
+def spans_of(text: str, secret) -> list[dict]:
+    """All spans of a text; secret: whether a word is one."""
+    base = base_matches(text)
+    found = [(kind, start, end) for kind, start, end, _ in base]
+    ends = sorted((s, e) for _, s, e in found)
+    at = 0
+    for start, end, word in candidates(text):
+        while at < len(ends) and ends[at][1] < end:
+            at += 1
+        if (at == len(ends) or ends[at][0] > start) and secret(word):
+            found.append(("learned", start, end))
+    found.sort(key=lambda x: (x[1], ORDER[x[0]]))
+    return [{"kind": k, "start": s, "end": e} for k, s, e in found]
 
-    mask: name of a text column in keep whose secrets are replaced by MASK."""
-    scanned = scan(df, keep, text)
-    grammar = grammar or fit(scanned)
-    at = keep.index(mask) if mask else -1
-    schema = T.StructType([*scanned.schema.fields[: len(keep)], T.StructField("__secrets", SECRETS)])
+
+def find_secrets(df: DataFrame, keep: list[str], text: str = "text", grammar: Grammar | None = None, mask: bool = False, name: str = "secrets") -> DataFrame:
+    """The columns in keep and one more, name: (kind, start, end) by start, then kind.
+
+    mask: the text, if it is kept, comes back with its secrets replaced by MASK."""
+    prepare(df.sparkSession)
+    grammar = grammar or fit(df, text)
+    sent = keep if text in keep else [*keep, text]
+    at = sent.index(text)
+    source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(sent)])
+    schema = T.StructType([*source.schema.fields[: len(keep)], T.StructField("found", SECRETS)])
 
     def run(batches):
         known: dict[str, bool] = {}
-        for batch in batches:
-            for part in slices(batch):
+
+        def secret(word):
+            if word not in known:
                 if len(known) > 100_000:
                     known.clear()
-                found = []
-                for base, rest in zip(part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist()):
-                    spans = [{k: b[k] for k in ("kind", "start", "end")} for b in base]
-                    for c in rest:
-                        if c["value"] not in known:
-                            known[c["value"]] = grammar.secret(c["value"])
-                        if known[c["value"]]:
-                            spans.append({"kind": "learned", "start": c["start"], "end": c["end"]})
-                    found.append(sorted(spans, key=lambda x: (x["start"], ORDER[x["kind"]])))
+                known[word] = grammar.secret(word)
+            return known[word]
+
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column(at).to_pylist()
+                found = [spans_of(t or "", secret) for t in texts]
                 columns = list(part.columns[: len(keep)])
-                if mask:
-                    columns[at] = pa.array([t if t is None else masked(t, s) for t, s in zip(columns[at].to_pylist(), found)], pa.string())
+                if mask and text in keep:
+                    columns[at] = pa.array([masked(t, s) if s else t for t, s in zip(texts, found)], pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, SECRETS_ARROW)], schema.names)
 
-    found = scanned.mapInArrow(run, schema)
-    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("__secrets").alias("secrets"))
+    found = source.mapInArrow(run, schema)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("found").alias(name))
+
+
+def mask_secrets(df: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """df with the secrets of its text replaced by MASK; a column of that name
+    (if there is one) gets the new length. All columns stay."""
+    [name] = fresh(df, "secrets")
+    found = find_secrets(df, df.columns, text, mask=True, name=name)
+    new = F.length(f"`{text}`")
+    return found.select(*[new.cast(df.schema[c].dataType).alias(c) if c == length else F.col(f"`{c}`") for c in df.columns])
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
