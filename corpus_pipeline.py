@@ -8,14 +8,13 @@ their input (an n_chars column follows the masked text)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from formsift.llm.common import prepare, read_table, staged
 from formsift.llm.neardup import keep_one
 from formsift.llm.packing import packed_rows
 from formsift.llm.quality import keep_good
 from formsift.llm.queries import vocabulary
-from formsift.llm.secrets import find_secrets
+from formsift.llm.secrets import mask_secrets
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    found = find_secrets(docs, docs.columns, mask="text").drop("secrets")
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    return mask_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
