@@ -180,7 +180,7 @@ class Background:
         total: dict[str, int] = defaultdict(int)
         for key, n in counts.items():
             total[key[:2]] += n
-        kinds = len({k[2] for k in counts}) + 1
+        kinds = len(WIDTH) + len("+/_.-=$")
         self.step = {k: math.log((n + 0.5) / (total[k[:2]] + 0.5 * kinds)) - math.log(WIDTH.get(k[2], 1)) for k, n in counts.items()}
         self.rare = {k: math.log(0.5 / (n + 0.5 * kinds)) for k, n in total.items()}
         self.never = -math.log(kinds)
