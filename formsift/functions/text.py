@@ -93,6 +93,34 @@ def normalize_entities(entities: Column) -> Column:
     return F.filter(F.transform(entities, one), lambda e: (e["type"] != "") & (e["value"] != ""))
 
 
+#: Elements that running() adds up one by one; more go by sums of so many.
+BLOCK = 128
+
+
+def running(values: Column, zero: Column, merge) -> Column:
+    """For each element, merge() of zero and all elements before it. Sums of blocks
+    are made first, so an array of n elements takes n * BLOCK steps, not n * n."""
+
+    def of_blocks(blocks):
+        firsts = F.transform(blocks, lambda _, b: F.aggregate(F.slice(blocks, 1, b), zero, merge))
+        return let(firsts, lambda f: F.transform(values, lambda _, i: F.aggregate(F.slice(values, i - i % BLOCK + 1, i % BLOCK), f[F.floor(i / BLOCK).cast("int")], merge)))
+
+    count = F.ceil(F.size(values) / BLOCK).cast("int")
+    numbers = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))
+    return let(F.transform(numbers, lambda b: F.aggregate(F.slice(values, b * BLOCK + 1, BLOCK), zero, merge)), of_blocks)
+
+
+def runs(values: Column, begins) -> Column:
+    """The array cut into arrays: begins(i) tells whether a run begins at place i > 0."""
+
+    def cut(starts):
+        stop = lambda k: F.coalesce(F.try_element_at(starts, k + 2), F.size(values))
+        return F.transform(starts, lambda s, k: F.slice(values, s + 1, stop(k) - s))
+
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0))), lambda i: (F.size(values) > 0) & ((i == 0) | begins(i)))
+    return let(places, cut)
+
+
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """Array of (value, start, end) of a pattern's matches, left to right.
 
@@ -100,15 +128,20 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     group must be the end of its match."""
 
     def place(parts):
-        def one(i, found):
-            before = F.aggregate(F.slice(parts["gaps"], 1, i + 1), F.lit(0), lambda n, s: n + F.length(s)) + F.aggregate(F.slice(parts["all"], 1, i), F.lit(0), lambda n, s: n + F.length(s))
-            end = before + F.length(parts["all"][i])
-            return F.struct(found.alias("value"), (end - F.length(found)).alias("start"), end.alias("end"))
+        sizes = F.transform(parts["all"], lambda m, i: F.length(m) + F.length(parts["gaps"][i]))
+
+        def one(before):
+            def at(found, i):
+                end = before[i] + F.length(parts["gaps"][i]) + F.length(parts["all"][i])
+                return F.struct(found.alias("value"), (end - F.length(found)).alias("start"), end.alias("end"))
+
+            return F.transform(parts["found"], at)
 
-        return F.transform(parts["found"], lambda v, i: one(i, v))
+        return let(let(sizes, lambda x: running(x, F.lit(0), lambda a, b: a + b)), one)
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"), found.alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) if group else found
+    parts = F.struct(whole.alias("all"), found.alias("found"), F.split(text, pattern, -1).alias("gaps"))
     return let(parts, place)
 
 

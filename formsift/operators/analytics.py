@@ -3,6 +3,8 @@ and by source with one, pre-summed on the map side."""
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -52,15 +54,24 @@ def nth_value(df: DataFrame, value: str, index: int, bins: int = 1024) -> float
     """The element of a sorted column at an index from 0, without sorting it.
 
     Equal slices of the range are counted, the slice that holds the element is
-    sliced again, and so on until few rows are left or all are equal."""
-    v = F.col(value)
-    ends = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")).first()
+    sliced again, and so on until few rows are left or all are equal. Infinite
+    values stand at the ends and are only counted; NaN is the largest."""
+    v = F.col(value).cast("double")
+    finite = v.between(-sys.float_info.max, sys.float_info.max)
+    low, high = F.count_if(v == float("-inf")), F.count_if(v == float("inf"))
+    ends = df.agg(F.min(F.when(finite, v)).alias("lo"), F.max(F.when(finite, v)).alias("hi"), F.count_if(finite).alias("n"), low.alias("low"), high.alias("high"), F.count(v).alias("all")).first()
     lo, hi, n = ends["lo"], ends["hi"], ends["n"]
-    if not 0 <= index < n:
+    if not 0 <= index < ends["all"]:
         return None
-    inside = df.where(v.isNotNull())
+    if index < ends["low"]:
+        return float("-inf")
+    index -= ends["low"]
+    if index >= n:
+        return float("inf") if index < n + ends["high"] else float("nan")
+    inside = df.where(finite)
     while lo < hi and n > RANKED_ROWS:
-        number = F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1))
+        # Halves, as the difference of two large values may be infinite.
+        number = F.least(F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * bins), F.lit(bins - 1))
         slices = inside.where(v.between(lo, hi)).groupBy(number.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).collect()  # bins rows at most
         for s in sorted(slices, key=lambda s: s["b"]):
             if index < s["n"]:

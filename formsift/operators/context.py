@@ -77,21 +77,46 @@ def role(kind: Column, text: Column, start: Column) -> Column:
     return F.when(start.isNull(), unknown("none")).otherwise(let(let(inputs, both_ways), nearest))
 
 
+#: What trained classifiers call the roles (fixed values).
+LEARNED = {
+    "primary": ("primary", "primary_person", "primary_dob", "primary_address", "primary_contact"),
+    "secondary_person": ("secondary", "secondary_person", "related_person", "non_primary"),
+    "non_target": ("non_target", "contextual", "organization", "unrelated"),
+}
+
+
 def learned_role(label: Column, probability: Column) -> Column:
-    """The same from a trained classifier's class (primary, secondary_person, ...)."""
-    score = F.round(F.coalesce(probability, F.lit(1.0)), 3)
-    signed = F.when(label == "primary", score).when(label.isin("secondary_person", "non_target"), -score).otherwise(0.0)
-    return F.struct(label.alias("context_role"), F.lit("").alias("context_label"), signed.alias("context_score"), F.lit("learned").alias("context_model"))
+    """The same from a trained classifier's class; null if it names none of the roles."""
+    names = F.create_map(*[F.lit(x) for role, all_of in LEARNED.items() for name in all_of for x in (name, role)])
+    sure = F.when(F.coalesce(probability, F.lit(0.0)) == 0, 1.0).otherwise(probability)
+
+    def made(role):
+        score = F.round(F.when(role == "primary", sure).otherwise(-sure), 3)
+        return F.when(role.isNotNull(), F.struct(role.alias("context_role"), F.lit("").alias("context_label"), score.alias("context_score"), F.lit("learned").alias("context_model")))
+
+    return let(names[F.lower(label)], made)
+
+
+def contexts(candidates: Column, text: Column) -> Column:
+    """What a trained classifier sees of each candidate; null without a place."""
+    return F.transform(candidates, lambda c: F.when(c["start"].isNotNull(), clean(window_before(text, c["start"]))))
 
 
-def with_context(candidates: Column, text: Column) -> Column:
-    """Candidates with their context's four fields."""
+def with_context(candidates: Column, text: Column, predictions: Column | None = None) -> Column:
+    """Candidates with their context's four fields: a trained classifier's, where
+    it has said something, else those of the labels nearby."""
     fields = ["type", "value", "confidence", "source", "start", "end", "validated"]
 
-    def add(c):
-        return let(role(c["type"], text, c["start"]), lambda r: F.struct(*[c[f].alias(f) for f in fields], *[r[f].alias(f) for f in ("context_role", "context_label", "context_score", "context_model")]))
+    def add(c, said=None):
+        found = role(c["type"], text, c["start"])
+        if said is not None:
+            found = F.when(c["start"].isNull(), found).otherwise(F.coalesce(learned_role(said["label"], said["probability"]), found))
+        return let(found, lambda r: F.struct(*[c[f].alias(f) for f in fields], *[r[f].alias(f) for f in ("context_role", "context_label", "context_score", "context_model")]))
 
-    return F.transform(candidates, add)
+    if predictions is None:
+        return F.transform(candidates, lambda c: add(c))
+    # An argument of let(), as what a Python function gives can't be evaluated inside another function.
+    return let(predictions, lambda p: F.transform(candidates, lambda c, i: add(c, F.try_element_at(p, i + 1))))
 
 
 def keeps(kind: Column, role: Column) -> Column:

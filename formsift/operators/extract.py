@@ -103,22 +103,76 @@ def llm_list(reply: Column) -> Column:
     return F.transform(good, lambda e: F.struct(e["type"].alias("type"), e["value"].alias("value"), F.coalesce(e["confidence"], F.lit(0.85)).alias("confidence"), F.lit("llm").alias("source")))
 
 
-def plug_in(df: DataFrame, function: Callable[[list[str]], list], text: str, column: str, kind: str) -> DataFrame:
+def answers(run: Callable[[list], list], asked: list) -> list[tuple]:
+    """(value, error) of each of the things asked, None without being asked. If a
+    batch fails, its members are asked one by one, so a bad one costs only itself."""
+
+    def ask(some: list) -> list:
+        out = list(run(some)) if some else []
+        if len(out) != len(some):
+            raise ValueError("as many answers as texts are needed")
+        return out
+
+    there = [x for x in asked if x is not None]
+    try:
+        found = [(v, None) for v in ask(there)]
+    except Exception as e:
+        found = [(None, type(e).__name__)]
+        if len(there) > 1:
+            found = []
+            for x in there:
+                try:
+                    found.append((ask([x])[0], None))
+                except Exception as e:  # the patterns' results stay as they are
+                    found.append((None, type(e).__name__))
+    left = iter(found)
+    return [(None, None) if x is None else next(left) for x in asked]
+
+
+def opened(function: Callable) -> Callable:
+    """What a task calls: made once by the function's method `open`, if it has one."""
+    return function.open() if hasattr(function, "open") else function
+
+
+def plug_in(df: DataFrame, function: Callable[[list[str]], list], text: str, column: str, kind: str, error: str | None = None) -> DataFrame:
     """Add a column made by a Python function over batches of texts (a token
-    model, an LLM call, OCR). An exception leaves the batch's values null.
+    model, an LLM call, OCR), and one with the name of the exception where it
+    failed. Null texts aren't shown to it and get null.
 
     The function is made once a task if it has a method `open`."""
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(f"value {kind}, error string")
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        run = opened(function)
+        for batch in batches:
+            found = answers(run, batch.tolist())
+            yield pd.DataFrame({"value": pd.Series([v for v, _ in found], dtype=object), "error": pd.Series([e for _, e in found], dtype=object)})
+
+    # Not deterministic, so the optimizer neither repeats the call nor moves it into other expressions.
+    said = f"__said_{column}"
+    made = df.withColumn(said, call.asNondeterministic()(F.col(text)))
+    made = made.withColumn(column, F.col(f"{said}.value"))
+    return (made.withColumn(error, F.col(f"{said}.error")) if error else made).drop(said)
+
+
+PREDICTIONS = "array<struct<label:string,probability:double>>"
+
+
+def predict_roles(df: DataFrame, function: Callable[[list[str]], list], contexts: str, column: str) -> DataFrame:
+    """Add a trained classifier's (label, probability) for each of an array of
+    contexts; null where there is no context or it failed. It sees a batch's
+    contexts of all documents at once."""
+
+    @F.pandas_udf(PREDICTIONS)
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run = function.open() if hasattr(function, "open") else function
+        run = opened(function)
         for batch in batches:
-            try:
-                yield pd.Series(list(run(batch.tolist())), dtype=object)
-            except Exception:  # a model that fails leaves the patterns' results as they are
-                yield pd.Series([None] * len(batch), dtype=object)
+            lists = [[] if x is None else list(x) for x in batch]
+            found = iter(answers(run, [c for x in lists for c in x]))
+            told = [[next(found)[0] for _ in x] for x in lists]
+            yield pd.Series([[None if v is None else {"label": str(v[0]), "probability": None if v[1] is None else float(v[1])} for v in x] for x in told], dtype=object)
 
-    return df.withColumn(column, call(F.col(text)))
+    return df.withColumn(column, call.asNondeterministic()(F.col(contexts)))
 
 
 TOKENS = "array<struct<label:string,score:double,start:int,end:int>>"

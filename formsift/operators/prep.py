@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formsift import vocab
+from formsift.operators.synth import exact_split
 from formsift.functions.text import lookup, strip
 
 #: Columns of the table, the words before them and their labels (fixed values).
@@ -77,7 +78,7 @@ def token_labels_by_first(offsets: Column, entities: Column) -> Column:
     return F.transform(offsets, one)
 
 
-def hash_split(df: DataFrame, key: str, train: float = 0.9, seed: int = 42) -> DataFrame:
-    """Add `split`, train or validation, by a hash of the key."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    return df.withColumn("split", F.when(u < train, "train").otherwise("validation"))
+def train_split(df: DataFrame, key: str, train: float = 0.9, seed: int = 42) -> DataFrame:
+    """Add `split`: int(train * n) of n rows train, the others validation, by a hash of the key."""
+    n = df.count()
+    return exact_split(df, key, {"train": int(train * n), "validation": n - int(train * n)}, seed)

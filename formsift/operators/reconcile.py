@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from formsift.functions.scoring import prefers_second, quality, validate
-from formsift.functions.text import canonical_type, entity_key, let, squeeze
+from formsift.functions.text import canonical_type, entity_key, let, running, runs, squeeze
 
 FIELDS = ["type", "value", "confidence", "source", "start", "end", "validated", "context_role", "context_label", "context_score", "context_model", "format_valid", "methods_agree"]
 LAST = 10**9
@@ -42,44 +42,39 @@ def canonical(candidates: Column) -> Column:
 
 def fold_equal(entities: Column) -> Column:
     """One entity a key, in order of first sight; each later one challenges the
-    holder, whose bonus for agreement stays once it has it."""
+    holder, whose bonus for agreement stays once it has it. Candidates are sorted
+    by key once, so equal ones stand together."""
 
-    def fold(keyed):
-        def of(key):
-            same = F.filter(keyed, lambda x: x["key"] == key)
+    def challenge(held, x):
+        winner = F.when(prefers_second(held, x["e"]), x["e"]).otherwise(held)
+        return let(winner, lambda w: put(w, methods_agree=F.lit(True), format_valid=held["format_valid"] | x["e"]["format_valid"]))
 
-            def challenge(held, x):
-                winner = F.when(prefers_second(held, x["e"]), x["e"]).otherwise(held)
-                return let(winner, lambda w: put(w, methods_agree=F.lit(True), format_valid=held["format_valid"] | x["e"]["format_valid"]))
+    def winner(run):
+        return F.struct(run[0]["i"].alias("i"), F.aggregate(F.slice(run, 2, F.greatest(F.size(run) - 1, F.lit(0))), run[0]["e"], challenge).alias("e"))
 
-            return let(same, lambda s: F.aggregate(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), s[0]["e"], challenge))
-
-        return F.transform(F.array_distinct(keyed["key"]), of)
-
-    return let(F.transform(entities, lambda e: F.struct(entity_key(e["type"], e["value"]).alias("key"), e.alias("e"))), fold)
+    keyed = F.sort_array(F.transform(entities, lambda e, i: F.struct(entity_key(e["type"], e["value"]).alias("key"), i.alias("i"), e.alias("e"))))
+    return let(keyed, lambda o: F.sort_array(F.transform(runs(o, lambda i: o[i]["key"] != o[i - 1]["key"]), winner))["e"])
 
 
 def merge_fragments(entities: Column, kind: str, gap: int) -> Column:
     """Entities of other types, then those of one type with neighbours joined
     that stand at most gap apart; such without a span are dropped."""
 
+    def joined(last, e):
+        return put(
+            last,
+            value=F.concat(squeeze(last["value"]), F.lit(" "), squeeze(e["value"])),
+            end=e["end"],
+            confidence=F.least(F.coalesce(last["confidence"], F.lit(0.0)), F.coalesce(e["confidence"], F.lit(0.0))),
+            context_score=F.greatest(F.coalesce(last["context_score"], F.lit(0.0)), F.coalesce(e["context_score"], F.lit(0.0))),
+        )
+
     def parts(all_of):
         mine = F.filter(all_of, lambda e: (e["type"] == kind) & e["start"].isNotNull() & e["end"].isNotNull())
         order = F.sort_array(F.transform(mine, lambda e, i: F.struct(e["start"].alias("s"), i.alias("i"), e.alias("e"))))["e"]
-
-        def step(acc, e):
-            last = F.try_element_at(acc, F.lit(-1))
-            joined = put(
-                last,
-                value=F.concat(squeeze(last["value"]), F.lit(" "), squeeze(e["value"])),
-                end=e["end"],
-                confidence=F.least(F.coalesce(last["confidence"], F.lit(0.0)), F.coalesce(e["confidence"], F.lit(0.0))),
-                context_score=F.greatest(F.coalesce(last["context_score"], F.lit(0.0)), F.coalesce(e["context_score"], F.lit(0.0))),
-            )
-            near = F.coalesce(e["start"] - last["end"] <= gap, F.lit(False))
-            return F.when(near, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(e)))
-
-        merged = F.aggregate(order, F.slice(all_of, 1, 0), step)
+        # A joined entity ends where its last part does, so neighbours tell where a new one begins.
+        islands = let(order, lambda o: runs(o, lambda i: o[i]["start"] - o[i - 1]["end"] > gap))
+        merged = F.transform(islands, lambda run: F.aggregate(F.slice(run, 2, F.greatest(F.size(run) - 1, F.lit(0))), run[0], joined))
         return F.concat(F.filter(all_of, lambda e: e["type"] != kind), merged)
 
     return let(entities, parts)
@@ -87,14 +82,26 @@ def merge_fragments(entities: Column, kind: str, gap: int) -> Column:
 
 def resolve_overlaps(entities: Column) -> Column:
     """By start, better first, each kept unless one already kept overlaps it and
-    is the same, or has its type and is at least as good. None kept is taken back."""
-    order = F.sort_array(F.transform(entities, lambda e, i: F.struct(F.coalesce(e["start"], F.lit(LAST)).alias("s"), (-quality(e)).alias("q"), i.alias("i"), e.alias("e"))))["e"]
-
-    def step(acc, e):
-        beaten = F.exists(acc, lambda k: overlap(e, k) & ((entity_key(e["type"], e["value"]) == entity_key(k["type"], k["value"])) | ((e["type"] == k["type"]) & (quality(k) >= quality(e)))))
-        return F.when(beaten, acc).otherwise(F.concat(acc, F.array(e)))
-
-    return let(order, lambda o: F.aggregate(o, F.slice(o, 1, 0), step))
+    is the same, or has its type and is at least as good. None kept is taken back.
+
+    Keys and qualities are made once; what begins at or after the end of all before
+    it is compared with none of them."""
+    ranked = F.transform(
+        entities,
+        lambda e, i: F.struct(F.coalesce(e["start"], F.lit(LAST)).alias("s"), (-quality(e)).alias("q"), i.alias("i"), entity_key(e["type"], e["value"]).alias("key"), e.alias("e")),
+    )
+
+    def step(acc, x):
+        beaten = F.exists(acc, lambda k: overlap(x["e"], k["e"]) & ((x["key"] == k["key"]) | ((x["e"]["type"] == k["e"]["type"]) & (k["q"] <= x["q"]))))
+        return F.when(beaten, acc).otherwise(F.concat(acc, F.array(x)))
+
+    def clusters(o):
+        ends = F.transform(o, lambda x: F.coalesce(x["e"]["end"], F.lit(-1)))
+        reach = let(ends, lambda e: running(e, F.lit(-1), lambda a, b: F.greatest(a, b)))
+        cut = let(reach, lambda r: runs(o, lambda i: o[i]["s"] >= r[i]))
+        return F.flatten(F.transform(cut, lambda run: F.aggregate(run, F.slice(run, 1, 0), step)))["e"]
+
+    return let(F.sort_array(ranked), clusters)
 
 
 def reconcile(candidates: Column) -> Column:

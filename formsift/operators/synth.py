@@ -5,8 +5,6 @@ same however rows are dealt; distributions are those of random picks."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +15,9 @@ SEED = 42
 
 
 def draw(name: str, n: int, seed: int = SEED, *more: Column) -> Column:
-    """A whole number from 0 to n - 1."""
-    return F.pmod(F.xxhash64(F.col("id"), F.lit(f"{seed}/{name}"), *more), F.lit(n))
+    """A whole number from 0 to n - 1, from the first 60 bits of an MD5 of seed, name and row."""
+    said = F.md5(F.concat_ws("/", F.lit(f"{seed}/{name}"), F.col("id").cast("string"), *[m.cast("string") for m in more]).cast("binary"))
+    return F.pmod(F.conv(F.substring(said, 1, 15), 16, 10).cast("bigint"), F.lit(n))
 
 
 def chance(name: str, seed: int = SEED, *more: Column) -> Column:
@@ -57,7 +56,7 @@ def values(seed: int = SEED) -> dict[str, Column]:
         "pan": F.concat(_letters("pan", 5, seed), _digits("pan", 4, seed), _letters("panz", 1, seed)),
         "aadhaar": F.concat((2 + draw("aadhaar0", 8, seed)).cast("string"), _digits("aadhaar", 11, seed)),
         "voter": F.concat(_letters("voter", 3, seed), _digits("voter", 7, seed)),
-        "dl": F.concat(pick("state", vocab.LICENCE_STATES, seed), F.lpad((1 + draw("rto", 99, seed)).cast("string"), 2, "0"), (2014 + draw("year", 11, seed)).cast("string"), _digits("serial", 8, seed)),
+        "dl": F.concat(pick("state", vocab.STATE_CODES, seed), F.lpad((1 + draw("rto", 99, seed)).cast("string"), 2, "0"), (2014 + draw("year", 11, seed)).cast("string"), _digits("serial", 8, seed)),
         "address": F.concat((1 + draw("house", 9999, seed)).cast("string"), F.lit(" "), pick("street", vocab.STREETS, seed), F.lit(", "), pick("city", vocab.CITIES, seed)),
         "email": F.concat(F.lower(first), F.lit("."), F.lower(last), F.lit("@"), pick("domain", vocab.EMAIL_DOMAINS, seed)),
         "org": pick("org", vocab.ORGANIZATIONS, seed),
@@ -113,17 +112,31 @@ def noisy(text: Column, seed: int = SEED) -> Column:
     return out
 
 
+def lines_of(layout: tuple) -> list[tuple[str, str | None]]:
+    """(what is said, field or none) of a layout's lines."""
+    _, heading, between, lines = layout
+    out: list[tuple[str, str | None]] = [(heading + "\n", None)]
+    for line in lines.split("|"):
+        label, _, field = line.partition("=")
+        out.append((label + between, field) if field else (label + "\n", None))
+    return out
+
+
+def gold_of(layout: tuple) -> list[tuple[str, str]]:
+    """(type, field) of a layout's labelled values, in order."""
+    types = {field: kind for kind, field in GOLD.items()}
+    return [(types[field], field) for _, field in lines_of(layout) if field in types]
+
+
 def generate(spark: SparkSession, n: int, seed: int = SEED, noise: bool = True) -> DataFrame:
     """document_id, document_type, text, entities of n forms; a narrow plan at any n."""
     made = values(seed)
-    rows = spark.range(n).withColumns({f"v_{k}": c for k, c in made.items()}).withColumn("which", draw("type", len(vocab.TEMPLATES), seed).cast("int"))
-    text, gold, kind = F.lit(None).cast("string"), F.lit(None), F.array(*[F.lit(t[0]) for t in vocab.TEMPLATES])[F.col("which")]
-    for i, (name, layout, labels) in enumerate(vocab.TEMPLATES):
-        dob = "dob_dashed" if name == "driving_licence" else "dob"
-        col = lambda k, dob=dob: F.col(f"v_{dob if k == 'dob' else k}")
-        parts = [col(p[1:-1]) if p[:1] == "{" else F.lit(p) for p in re.split(r"(\{\w+\})", layout) if p]
+    rows = spark.range(n).withColumns({f"v_{k}": c for k, c in made.items()}).withColumn("which", draw("type", len(vocab.LAYOUTS), seed).cast("int"))
+    text, gold, kind = F.lit(None).cast("string"), F.lit(None), F.array(*[F.lit(x[0]) for x in vocab.LAYOUTS])[F.col("which")]
+    for i, layout in enumerate(vocab.LAYOUTS):
+        parts = [x for said, field in lines_of(layout) for x in ([F.lit(said)] if field is None else [F.lit(said), F.col(f"v_{field}"), F.lit("\n")])]
         text = F.when(F.col("which") == i, F.concat(*parts)).otherwise(text)
-        listed = F.array(*[F.struct(F.lit(t).alias("type"), col(GOLD[t]).alias("value")) for t in labels.split()])
+        listed = F.array(*[F.struct(F.lit(t).alias("type"), F.col(f"v_{field}").alias("value")) for t, field in gold_of(layout)])
         gold = F.when(F.col("which") == i, listed) if i == 0 else gold.when(F.col("which") == i, listed)
     rows = rows.select("id", kind.alias("document_type"), text.alias("clean"), gold.alias("gold"))
     rows = rows.withColumn("text", noisy(F.col("clean"), seed) if noise else F.col("clean"))
@@ -131,24 +144,31 @@ def generate(spark: SparkSession, n: int, seed: int = SEED, noise: bool = True)
 
 
 def exact_split(df: DataFrame, key: str, shares: dict[str, int], seed: int = SEED) -> DataFrame:
-    """Add `split`: by rank of a hash, so many rows each, in the order of shares.
-
-    Thresholds are the hashes at the cuts, found by counting hashes in coarse
-    bins first; only the bins that hold a cut are ranked."""
-    from pyspark.sql import Window as W
-
-    h = df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__b", F.shiftrightunsigned("__h", 48).cast("int"))
-    bins = h.groupBy("__b").agg(F.count(F.lit(1)).alias("n"))
-    before = bins.select(F.col("__b"), F.coalesce(F.sum("n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # 65,536 rows at most
-    rank = F.col("before") + F.row_number().over(W.partitionBy("__b").orderBy("__h", key))
-    out, upto = F.lit(None).cast("string"), 0
-    cuts = []
+    """Add `split`: by rank of a hash of the key, so many rows each, in the order of shares.
+
+    Hashes are counted in 65,536 bins; of each bin that holds a cut the hash and key
+    at the cut are found. Only keys are read for that, and no row moves. Rows beyond
+    all shares get null; rows of one key stay together."""
+    h = F.xxhash64(F.lit(seed), F.col(key))
+    b = F.shiftrightunsigned(h, 48).cast("int")
+    keys = df.select(h.alias("h"), F.col(key).alias("k"), b.alias("b"))
+    bins = sorted(tuple(r) for r in keys.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect())
+    out, upto, cuts = F.lit(None).cast("string"), 0, []
     for name, n in shares.items():
         upto += n
-        cuts.append((name, upto))
-    for name, upto in reversed(cuts):
-        out = F.when(rank <= upto, name).otherwise(out)
-    return h.join(F.broadcast(before), "__b").withColumn("split", out).drop("__h", "__b", "before")
+        before = 0
+        for number, count in bins:
+            if before < upto <= before + count:
+                last = keys.where(F.col("b") == number).orderBy("h", "k").limit(upto - before).agg(F.max(F.struct("h", "k")).alias("x")).first()["x"]
+                same = F.struct(h.alias("h"), F.col(key).alias("k")) <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["k"]).cast(df.schema[key].dataType).alias("k"))
+                cuts.append((name, (b < number) | ((b == number) & same)))
+                break
+            before += count
+        else:
+            cuts.append((name, F.lit(upto > 0)))
+    for name, inside in reversed(cuts):
+        out = F.when(inside, name).otherwise(out)
+    return df.withColumn("split", out)
 
 
 def replace_at(text: Column, start: Column, end: Column, value: Column) -> Column:

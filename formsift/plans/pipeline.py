@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from formsift.functions.scoring import confidence_level, final_confidence, validate
 from formsift.functions.text import let, strip
-from formsift.operators.context import filter_roles, with_context
-from formsift.operators.extract import CANDIDATES, TOKENS, llm_candidates, model_candidates, plug_in, regex_candidates
+from formsift.operators.context import contexts, filter_roles, with_context
+from formsift.operators.extract import CANDIDATES, TOKENS, llm_candidates, model_candidates, plug_in, predict_roles, regex_candidates
 from formsift.operators.reconcile import FIELDS, reconcile
 from formsift.operators.route import needs_llm
 
@@ -22,9 +22,20 @@ def _blank() -> Column:
     return F.array().cast(CANDIDATES)
 
 
-def settle(candidates: Column, text: Column) -> Column:
+def settle(candidates: Column, text: Column, predictions: Column | None = None) -> Column:
     """Classify, drop others' values, reconcile."""
-    return reconcile(filter_roles(with_context(candidates, text)))
+    return reconcile(filter_roles(with_context(candidates, text, predictions)))
+
+
+def settled(df: DataFrame, column: str, candidates: Column, text: Column, roles: Callable | None, only: Column | None = None) -> DataFrame:
+    """Add a column of entities; where `only` is false it stays as it is."""
+    keep = lambda c: c if only is None else F.when(only, c).otherwise(F.col(column))
+    if roles is None:
+        return df.withColumn(column, keep(settle(candidates, text)))
+    asked = candidates if only is None else F.when(only, candidates)
+    made = df.withColumn("__raw", asked).withColumn("__contexts", contexts(F.col("__raw"), text))
+    made = predict_roles(made, roles, "__contexts", "__roles")
+    return made.withColumn(column, keep(settle(F.col("__raw"), text, F.col("__roles")))).drop("__raw", "__contexts", "__roles")
 
 
 def enrich(entities: Column) -> Column:
@@ -39,29 +50,36 @@ def enrich(entities: Column) -> Column:
     return F.transform(entities, one)
 
 
-def extract(docs: DataFrame, text: str = "text", ner: Callable | None = None, llm: Callable | None = None) -> DataFrame:
-    """docs with `entities` and `status` (success, or no_text for a blank text).
+def extract(docs: DataFrame, text: str = "text", ner: Callable | None = None, llm: Callable | None = None, roles: Callable | None = None) -> DataFrame:
+    """docs with `entities` and `status` (success, or no_text for a blank text); with
+    ner or llm also `errors`, the names of their exceptions.
 
-    ner: texts to arrays of tagged tokens; llm: texts to replies. The LLM only
-    gets documents whose first result is ambiguous; they are then settled anew
-    from all raw candidates. Without an LLM the first result is the last."""
-    kept = docs.columns
+    ner: texts to arrays of tagged tokens; llm: texts to replies; roles: contexts
+    to (label, probability) of a trained classifier. Each sees a text once. The LLM
+    only gets documents whose first result is ambiguous, which are then settled anew
+    from all raw candidates; all in one pass, as texts that it needn't see are null
+    to it. Without an LLM the first result is the last. Null text counts as blank."""
+    kept = [c for c in docs.columns if c not in ("entities", "status", "errors")]
     body = F.coalesce(F.col(text), F.lit(""))
     found = docs.withColumn("__regex", regex_candidates(body))
+    errors = []
     if ner is not None:
-        found = plug_in(found, ner, text, "__tokens", TOKENS).withColumn("__ner", F.coalesce(model_candidates(body, F.col("__tokens")), _blank()))
-    else:
-        found = found.withColumn("__ner", _blank())
-    raw = F.concat("__regex", "__ner")
-    first = found.withColumn("entities", settle(raw, body))
+        found = plug_in(found, ner, text, "__tokens", TOKENS, error="__ner_error")
+        found = found.withColumn("__ner", F.coalesce(model_candidates(body, F.col("__tokens")), _blank()))
+        errors.append(F.concat(F.lit("ner: "), "__ner_error"))
+    raw = F.concat("__regex", "__ner") if ner is not None else F.col("__regex")
+    found = settled(found, "entities", raw, body, roles)
     if llm is not None:
-        first = first.withColumn("__llm", needs_llm(F.col("entities")))
-        asked = plug_in(first.where("__llm"), llm, text, "__reply", "string")
+        found = found.withColumn("__ask", F.when(needs_llm(F.col("entities")), F.col(text)))
+        found = plug_in(found, llm, "__ask", "__reply", "string", error="__llm_error")
         more = F.coalesce(llm_candidates(body, F.col("__reply")), _blank())
-        settled = asked.withColumn("entities", settle(F.concat("__regex", "__ner", more), body)).drop("__reply")
-        first = first.where("NOT __llm").unionByName(settled)
+        found = settled(found, "entities", F.concat(raw, more), body, roles, F.col("__ask").isNotNull())
+        errors.append(F.concat(F.lit("llm: "), "__llm_error"))
     status = F.when(strip(body) == "", "no_text").otherwise("success")
-    return first.withColumn("entities", enrich(F.col("entities"))).withColumn("status", status).select(*[c for c in kept if c not in ("entities", "status")], "entities", "status")
+    out = found.withColumn("entities", enrich(F.col("entities"))).withColumn("status", status)
+    if errors:
+        return out.withColumn("errors", F.array_compact(F.array(*errors))).select(*kept, "entities", "status", "errors")
+    return out.select(*kept, "entities", "status")
 
 
 #: What extract() adds to its documents.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from formsift import vocab
 from formsift.functions import scoring, text
 from formsift.operators import analytics, context, evaluate, extract, prep, reconcile, route, synth
-from formsift.plans import pipeline
+from formsift.plans import oracle, pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,14 +76,14 @@ def duck(sql: str) -> str:
     return sql
 
 
-def query(name: str, oracle: str | None = None, source: str | None = None):
+def query(name: str, sql: str | None = None, source: str | None = None):
     """Register a query; source: SQL of its input, given to it as a DataFrame and
     to the oracle as the table `src`."""
 
     def add(function):
         QUERIES[name] = (lambda spark, sf_dir: function(built(spark, sf_dir, source))) if source else function
-        if oracle:
-            ORACLES[name] = duck(f"WITH src AS ({source}) {oracle}") if source else oracle
+        if sql:
+            ORACLES[name] = duck(f"WITH RECURSIVE src AS ({source}) {sql}") if source else sql
         return function
 
     return add
@@ -113,23 +113,14 @@ def email_spans(docs):
 
 
 def _candidates(kind):
-    return lambda forms: rows(forms.select("doc_id", extract.matches(F.col("text"), kind).alias("c")), "c", "value")
+    return lambda forms: rows(forms.select("doc_id", extract.matches(F.col("text"), kind).alias("c")), "c", "value", "start", "end")
 
 
-STATES = "|".join(vocab.STATE_CODES)
-for _name, _kind, _pattern, _value in (
-    ("pan_candidates", "PAN", r"(?i)\b[A-Z]{5}[0-9]{4}[A-Z]\b", "upper(v)"),
-    ("aadhaar_candidates", "Aadhaar", r"\b[2-9]\d{3}\s?\d{4}\s?\d{4}\b", r"regexp_replace(v, '[\s-]', '', 'g')"),
-    ("phone_candidates", "Phone", r"(?:^|[^A-Za-z0-9+])((?:\+91[\s-]?)?[6-9]\d{9})(?:$|[^0-9])", r"regexp_replace(v, '[\s-]', '', 'g')"),
-    ("voter_candidates", "Voter ID", r"(?i)\b[A-Z]{3}[0-9]{7}\b", "upper(v)"),
-    ("dl_candidates", "Driving Licence", rf"(?i)(?:^|[^A-Za-z0-9])((?:{STATES})[-\s]?\d{{2}}[-\s]?\d{{4,13}})(?:$|[^A-Za-z0-9])", r"upper(regexp_replace(v, '[\s-]', '', 'g'))"),
-    ("dob_context_candidates", "DOB", r"(?i)(?:\bdate\s+of\s+birth\b|\bdob\b|\bborn\s+on\b)\s*(?::|-|=|\bis\b|\bwas\b)?\s*((?:0?[1-9]|[12]\d|3[01])[/-](?:0?[1-9]|1[0-2])[/-](?:19|20)\d{2})", "v"),
-):
-    _group = 1 if "((" in _pattern else 0
-    query(_name, f"SELECT doc_id, {_value} AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_pattern}', {_group})) AS v FROM src)", FORMS)(_candidates(_kind))
+for _name, _kind in (("pan_candidates", "PAN"), ("aadhaar_candidates", "Aadhaar"), ("phone_candidates", "Phone"), ("voter_candidates", "Voter ID"), ("dl_candidates", "Driving Licence"), ("dob_context_candidates", "DOB")):
+    query(_name, f'SELECT doc_id, value, start, "end" FROM ({oracle.matches(_kind)})', FORMS)(_candidates(_kind))
 
 
-@query("regex_candidates", None, FORMS)
+@query("regex_candidates", f', {oracle.found()} SELECT doc_id, type, value, confidence, source, start, "end", validated FROM found', FORMS)
 def regex_candidates(forms):
     return rows(forms.select("doc_id", extract.regex_candidates(F.col("text")).alias("c")), "c", *"type value confidence source start end validated".split())
 
@@ -219,18 +210,11 @@ def canonical_types(raw):
     return raw.select("id", text.canonical_type(F.col("type")).alias("canonical"))
 
 
-@query("normalize_phone", "SELECT id, phone AS a, phone AS b, CASE WHEN id % 7 = 3 THEN phone ELSE regexp_replace(value, '[^0-9]', '', 'g') END AS c FROM src WHERE id % 7 IN (3, 4)", RAW)
+@query("normalize_phone", f"SELECT id, phone AS a, phone AS b, {oracle.PHONE} AS c FROM src", RAW)
 def normalize_phone(raw):
-    raw = raw.where("id % 7 IN (3, 4)")
     return raw.select("id", text.normalize_phone(F.col("phone")).alias("a"), text.normalize_phone(F.concat(F.lit("91-"), "phone")).alias("b"), text.normalize_phone(F.col("value")).alias("c"))
 
 
-@query("normalize_phone_values", None, RAW)
-def normalize_phone_values(raw):
-    """Every value, of whatever type; normalize_phone has the two types that its SQL follows."""
-    return raw.select("id", text.normalize_phone(F.col("value")).alias("phone"))
-
-
 @query("normalize_dob", "SELECT id, strftime(strptime(dotted, '%d.%m.%Y'), '%Y-%m-%d') AS a, CASE WHEN dashed = '31-02-2000' THEN dashed ELSE strftime(strptime(dashed, '%d-%m-%Y'), '%Y-%m-%d') END AS b FROM src", RAW)
 def normalize_dob(raw):
     return raw.select("id", text.normalize_dob(F.col("dotted")).alias("a"), text.normalize_dob(F.col("dashed")).alias("b"))
@@ -266,9 +250,14 @@ def validate_entities(values):
     return values.select("id", scoring.validate(F.col("type"), F.col("value")).alias("valid"))
 
 
-@query("simple_validation", r"SELECT id, CASE type WHEN 'PAN' THEN regexp_full_match(upper(value), '[A-Z]{5}[0-9]{4}[A-Z]') ELSE true END AS valid FROM src WHERE type IN ('PAN', 'NAME')", VALUES)
+@query(
+    "simple_validation",
+    r"""SELECT id, CASE type WHEN 'PAN' THEN regexp_full_match(upper(value), '[A-Z]{5}[0-9]{4}[A-Z]') WHEN 'Aadhaar' THEN length(regexp_replace(value, '\D', '', 'g')) = 12
+    WHEN 'Phone' THEN regexp_full_match(regexp_replace(value, '\D', '', 'g'), '(91\d*)?[6-9]\d{9}') ELSE true END AS valid FROM src""",
+    f"SELECT id, CASE type WHEN 'AADHAAR' THEN 'Aadhaar' WHEN 'PHONE' THEN 'Phone' ELSE type END AS type, value FROM ({VALUES}) AS v",
+)
 def simple_validation(values):
-    return values.where("type IN ('PAN', 'NAME')").select("id", scoring.simple_validate(F.col("type"), F.col("value")).alias("valid"))
+    return values.select("id", scoring.simple_validate(F.col("type"), F.col("value")).alias("valid"))
 
 
 @query("display_values", r"""SELECT id, CASE type WHEN 'PHONE' THEN replace(value, ' ', '') WHEN 'AADHAAR' THEN replace(value, ' ', '') WHEN 'DRIVING_LICENCE' THEN replace(value, ' ', '') WHEN 'PAN' THEN upper(value) WHEN 'VOTER_ID' THEN upper(value) ELSE value END AS shown FROM src""", VALUES)
@@ -322,6 +311,23 @@ def nearest_label(forms):
     return found.select("doc_id", F.col("r.context_role").alias("role"), F.col("r.context_label").alias("label"), F.col("r.context_score").alias("score"))
 
 
+ALL_LABELS = [x for table in (vocab.PRIMARY_LABELS, vocab.NON_TARGET_LABELS, vocab.SECONDARY_LABELS) for labels in table.values() for x in labels]
+_LABEL = lambda n: f"split_part('{'|'.join(ALL_LABELS).replace(chr(39), chr(39) * 2)}', '|', 1 + CAST({n} AS INT) % {len(ALL_LABELS)})"
+#: Two labels of all types on one line or two, and three kinds of value after them.
+LABELS = f"""
+SELECT doc_id, text, ord, CAST(CASE ord WHEN 3 THEN NULL WHEN 2 THEN length(text) ELSE ord * 12 + floor(length(text) / 2) END AS INT) AS start,
+  split_part('NAME|DOB|ADDRESS|PHONE|EMAIL|PAN|AADHAAR|Voter ID|voter_id|DRIVING_LICENCE|Name', '|', 1 + CAST((doc_id + ord * 3) % 11 AS INT)) AS type
+FROM (SELECT k AS doc_id, {_LABEL("k")} || CASE k % 3 WHEN 0 THEN ': one' || chr(10) WHEN 1 THEN ' ' ELSE ': two, ' END || upper({_LABEL("k * 7 + 3")}) || CASE k % 2 WHEN 0 THEN chr(10) ELSE ' - ' END || c_name AS text FROM ({PARTS}) AS p) AS t
+CROSS JOIN (SELECT 0 AS ord UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) AS o
+"""
+
+
+@query("context_roles", f", {oracle.roles('src')} SELECT doc_id, ord, role, label, score, model FROM role_of", LABELS)
+def context_roles(places):
+    found = places.select("doc_id", "ord", context.role(F.col("type"), F.col("text"), F.col("start")).alias("r"))
+    return found.select("doc_id", "ord", F.col("r.context_role").alias("role"), F.col("r.context_label").alias("label"), F.col("r.context_score").alias("score"), F.col("r.context_model").alias("model"))
+
+
 @query("role_filter", "SELECT doc_id, ord FROM src WHERE NOT (role = 'secondary_person' AND type = 'NAME') AND NOT (role = 'non_target' AND type IN ('EMAIL', 'PHONE', 'DOB', 'ADDRESS'))", LINES)
 def role_filter(lines):
     return lines.where(context.keeps(F.col("type"), F.col("role"))).select("doc_id", "ord")
@@ -365,31 +371,31 @@ def badges(lines):
 
 # Reconciling
 
-PAIRS = LINES + " WHERE ord <= 2"
-
-
 def documents_of(lines):
     return lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", entity().alias("e"))))["e"].alias("entities"))
 
 
-@query(
-    "dedup_methods_agree",
-    f"""
-    , x AS (SELECT *, 'k' || value AS key, {QUALITY} AS q, {PRIORITY.replace("type = 'NAME'", "true")} AS p FROM (SELECT doc_id, ord, 'NAME' AS type, value, source, confidence, score, true AS valid, false AS agree FROM src)),
-    g AS (SELECT doc_id, key, list({{'ord': ord, 'q': q, 'p': p, 'c': confidence, 'source': source}} ORDER BY ord) AS xs FROM x GROUP BY doc_id, key)
-    SELECT doc_id, substr(key, 2) AS value, len(xs) > 1 AS methods_agree,
-      CASE WHEN len(xs) > 1 AND (xs[2].q > xs[1].q OR (xs[2].q = xs[1].q AND (xs[2].p > xs[1].p OR (xs[2].p = xs[1].p AND xs[2].c > xs[1].c)))) THEN xs[2].source ELSE xs[1].source END AS source FROM g""",
-    PAIRS,
-)
+#: LINES as the SQL's candidates, before and after the values get their types' formats.
+AS_CAND = 'SELECT doc_id, ord, {type} AS type, {value} AS value, confidence::DOUBLE AS confidence, source, start_at AS start, end_at AS "end", true AS validated, role, \'\' AS label, score::DOUBLE AS score, \'nearest_field\' AS model FROM src'
+IN_FORM = "CASE type WHEN 'PAN' THEN 'ABCDE123' || right(value, 1) || 'F' WHEN 'PHONE' THEN '987654321' || right(value, 1) WHEN 'EMAIL' THEN value || '@example.test' ELSE value END"
+GOOD = f", cand AS ({AS_CAND.format(type='type', value=IN_FORM)}), {oracle.canonical('cand')}, {oracle.folded()}"
+
+
+def in_form(lines):
+    return lines.withColumn("value", F.expr(IN_FORM))
+
+
+@query("dedup_methods_agree", f", cand AS ({AS_CAND.format(type=repr('NAME'), value='value')}), {oracle.canonical('cand')}, {oracle.folded()} SELECT doc_id, e.value AS value, e.agree AS methods_agree, e.source AS source FROM folded", LINES)
 def dedup_methods_agree(lines):
     docs = documents_of(lines.withColumns({"type": F.lit("NAME")}))
     return rows(docs.select("doc_id", reconcile.fold_equal(reconcile.canonical(F.col("entities"))).alias("x")), "x", "value", "methods_agree", "source")
 
 
-@query("dedup_fold", None, LINES)
+@query("dedup_fold", GOOD + ', o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS n FROM folded) SELECT doc_id, n::INT AS ord, e.type AS type, e.value AS value, e.confidence AS confidence, e.source AS source, e.start AS start, e.agree AS methods_agree, e.role AS context_role FROM o', LINES)
 def dedup_fold(lines):
-    """The fold over all candidates of a document; dedup_methods_agree has the two that its SQL follows."""
-    return dedup_methods_agree(lines)
+    """The fold over all candidates of all types, in order of first sight."""
+    found = documents_of(in_form(lines)).select("doc_id", reconcile.fold_equal(reconcile.canonical(F.col("entities"))).alias("x"))
+    return found.select("doc_id", F.posexplode_outer("x").alias("ord", "e")).where("ord IS NOT NULL").select("doc_id", "ord", *[f"e.{c}" for c in "type value confidence source start methods_agree context_role".split()])
 
 
 def _fragments(kind, gap):
@@ -411,21 +417,26 @@ query("merge_address_fragments", ISLANDS.replace("{gap}", "2"), LINES)(_fragment
 @query("span_overlap_pairs", "SELECT a.doc_id, a.ord AS first, b.ord AS second FROM src a JOIN src b ON a.doc_id = b.doc_id AND a.ord < b.ord AND a.start_at < b.end_at AND b.start_at < a.end_at", LINES)
 def span_overlap_pairs(lines):
     # A document's candidates are few; the equality on doc_id keeps the range comparison inside it.
-    a, b = lines.select("doc_id", "ord", "start_at", "end_at").alias("a"), lines.select("doc_id", "ord", "start_at", "end_at").alias("b")
-    near = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.ord") < F.col("b.ord")) & (F.col("a.start_at") < F.col("b.end_at")) & (F.col("b.start_at") < F.col("a.end_at"))
-    return a.join(b, near).select("a.doc_id", F.col("a.ord").alias("first"), F.col("b.ord").alias("second"))
+    span = lines.select("doc_id", "ord", F.struct(F.col("start_at").alias("start"), F.col("end_at").alias("end")).alias("at"))
+    a, b = span.alias("a"), span.alias("b")
+    near = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.ord") < F.col("b.ord"))
+    return a.join(b, near & reconcile.overlap(F.col("a.at"), F.col("b.at"))).select("a.doc_id", F.col("a.ord").alias("first"), F.col("b.ord").alias("second"))
+
 
+SHOWN = "type value confidence source start end methods_agree".split()
 
-@query("overlap_resolve", None, LINES)
+
+@query("overlap_resolve", f""", merged AS (SELECT doc_id, 0 AS grp, ord AS idx, {oracle._struct("y")} AS e FROM (SELECT doc_id, ord, type, value, confidence::DOUBLE AS confidence, source, start_at AS start, end_at AS "end", true AS validated, role, '' AS label, score::DOUBLE AS score, 'nearest_field' AS model, valid, agree FROM src) AS y),
+    {oracle.resolved()} SELECT doc_id, ord, e.type AS type, e.value AS value, e.source AS source, e.start AS start, e."end" AS "end" FROM final""", LINES)
 def overlap_resolve(lines):
-    lines = lines.withColumn("type", F.when(F.col("ord") % 3 == 0, "PAN").otherwise("NAME"))
-    return rows(documents_of(lines).select("doc_id", reconcile.resolve_overlaps(F.col("entities")).alias("x")), "x", "type", "value", "start", "end")
+    found = documents_of(lines).select("doc_id", reconcile.resolve_overlaps(F.col("entities")).alias("x"))
+    return found.select("doc_id", F.posexplode_outer("x").alias("ord", "e")).where("ord IS NOT NULL").select("doc_id", "ord", "e.type", "e.value", "e.source", "e.start", "e.end")
 
 
-@query("reconcile_entities", None, LINES)
+@query("reconcile_entities", GOOD + f""", {oracle.merged()}, {oracle.resolved()} SELECT doc_id, ord, e.type AS type, e.value AS value, e.confidence AS confidence, e.source AS source, e.start AS start, e."end" AS "end", e.agree AS methods_agree FROM final""", LINES)
 def reconcile_entities(lines):
-    good = F.when(F.col("type") == "PAN", F.concat(F.lit("ABCDE123"), F.right("value", F.lit(1)), F.lit("F"))).when(F.col("type") == "PHONE", F.concat(F.lit("987654321"), F.right("value", F.lit(1)))).when(F.col("type") == "EMAIL", F.concat("value", F.lit("@example.test"))).otherwise(F.col("value"))
-    return rows(documents_of(lines.withColumn("value", good)).select("doc_id", reconcile.reconcile(F.col("entities")).alias("x")), "x", "type", "value", "confidence", "source", "start", "end", "methods_agree")
+    found = documents_of(in_form(lines)).select("doc_id", reconcile.reconcile(F.col("entities")).alias("x"))
+    return found.select("doc_id", F.posexplode_outer("x").alias("ord", "e")).where("ord IS NOT NULL").select("doc_id", "ord", *[f"e.{c}" for c in SHOWN])
 
 
 # Routing
@@ -571,9 +582,14 @@ def survivor_relocate(forms):
     return rows(forms.select("doc_id", synth.survivors(F.col("text"), listed).alias("x")), "x", "type", "value", "start", "end")
 
 
-@query("exact_split", ", n AS (SELECT count(*) AS n FROM src) SELECT split, rows FROM (SELECT unnest(['train', 'validation', 'test']) AS split, unnest([1000, 100, 40]) AS rows) UNION ALL SELECT NULL, n - 1140 FROM n WHERE n > 1140", "SELECT c_custkey FROM {customer}")
+@query(
+    "exact_split",
+    ", n AS (SELECT count(*) AS n FROM src), p AS (SELECT unnest(['train', 'validation', 'test', NULL]) AS split, unnest([n * 8 // 10, n // 10, n // 20, n - n * 8 // 10 - n // 10 - n // 20]) AS rows FROM n) SELECT split, rows FROM p WHERE rows > 0",
+    "SELECT c_custkey FROM {customer}",
+)
 def exact_split(customers):
-    return synth.exact_split(customers, "c_custkey", {"train": 1000, "validation": 100, "test": 40}).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    n = customers.count()
+    return synth.exact_split(customers, "c_custkey", {"train": n * 8 // 10, "validation": n // 10, "test": n // 20}).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("replace_at", "SELECT doc_id, left(text, place) || '[X]' || substr(text, place + 5) AS replaced FROM src", AT_EMAIL)
@@ -581,7 +597,7 @@ def replace_at(forms):
     return forms.select("doc_id", synth.replace_at(F.col("text"), F.col("place"), F.col("place") + 4, F.lit("[X]")).alias("replaced"))
 
 
-LABELLED = f"SELECT doc_id, substr(text, 1, 150) AS text, CAST(instr(text, 'user') - 1 AS INT) AS place FROM ({FORMS}) AS f WHERE instr(text, 'user') > 0"
+LABELLED = f"SELECT doc_id, text, CAST(instr(text, 'user') - 1 AS INT) AS place FROM ({FORMS}) AS f WHERE instr(text, 'user') > 0"
 
 
 def _labelled(forms):
@@ -604,28 +620,11 @@ TOKEN_IDS = {"EMAIL": 7, "NAME": 1, "PAN": 3}
 
 @query(
     "token_label_align",
-    """, t AS (SELECT doc_id, place, unnest(range(30)) AS i FROM src), o AS (SELECT doc_id, place, i, i * 3 AS s, CASE WHEN i % 10 = 9 THEN i * 3 ELSE i * 3 + 3 END AS e FROM t)
+    """, t AS (SELECT doc_id, place, length(text) AS n, unnest(range(ceil(length(text) / 3)::BIGINT)) AS i FROM src), o AS (SELECT doc_id, place, i, i * 3 AS s, least(n, CASE WHEN i % 10 = 9 THEN i * 3 ELSE i * 3 + 3 END) AS e FROM t)
     SELECT doc_id, i::INT AS pos, CASE WHEN s = e THEN -100 WHEN s < place + 8 AND e > place THEN CASE WHEN s <= place THEN 7 ELSE 8 END WHEN s < 6 AND e > 2 THEN CASE WHEN s <= 2 THEN 1 ELSE 2 END WHEN s < 9 AND e > 4 THEN CASE WHEN s <= 4 THEN 3 ELSE 4 END ELSE 0 END AS label FROM o""",
     LABELLED,
 )
 def token_label_align(forms):
-    offsets = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.struct((i * 3).alias("start"), F.when(i % 10 == 9, i * 3).otherwise(i * 3 + 3).alias("end")))
-    entities = F.slice(_labelled(forms), 1, 3)
-    return forms.select("doc_id", F.posexplode(prep.token_labels(offsets, entities)).alias("pos", "label"))
-
-
-#: LABELLED with whole texts.
-LABELLED_WHOLE = f"SELECT doc_id, text, CAST(instr(text, 'user') - 1 AS INT) AS place FROM ({FORMS}) AS f WHERE instr(text, 'user') > 0"
-
-
-@query("bio_char_labels_whole", None, LABELLED_WHOLE)
-def bio_char_labels_whole(forms):
-    return bio_char_labels(forms)
-
-
-@query("token_label_align_whole", None, LABELLED_WHOLE)
-def token_label_align_whole(forms):
-    """Tokens as in token_label_align, up to the end of the text."""
     last = F.ceil(F.length("text") / 3).cast("int") - 1
     ends = lambda i: F.least(F.when(i % 10 == 9, i * 3).otherwise(i * 3 + 3), F.length("text"))
     offsets = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * 3).alias("start"), ends(i).alias("end")))
@@ -658,25 +657,50 @@ def human_sizes(values):
     return values.select("v", text.human_size(F.col("v")).alias("shown"))
 
 
-@query("synthetic_forms")
+def generated(spark, sf_dir, noise):
+    """As many forms as there are customers."""
+    return synth.generate(spark, table(spark, sf_dir, "customer").count(), noise=noise)
+
+
+@query("synthetic_forms", oracle.synthetic("(SELECT count(*) FROM customer)"))
 def synthetic_forms(spark, sf_dir):
-    return synth.generate(spark, 2000)
+    forms = generated(spark, sf_dir, noise=False)
+    return forms.select("document_id", "document_type", "text", F.explode("entities").alias("e")).select("document_id", "document_type", "text", "e.*")
+
 
+@query("noisy_forms")
+def noisy_forms(spark, sf_dir):
+    return generated(spark, sf_dir, noise=True)
 
-@query("synthetic_recall", "SELECT unnest(['AADHAAR', 'DOB', 'DRIVING_LICENCE', 'EMAIL', 'PAN', 'PHONE', 'VOTER_ID']) AS type, 1.0::DOUBLE AS recall")
+
+@query(
+    "synthetic_recall",
+    f"""WITH g AS ({oracle.synthetic("(SELECT count(*) FROM customer)")}), src AS (SELECT DISTINCT document_id AS doc_id, text FROM g),
+    e AS (SELECT g.document_id, g.type, {oracle.matched_gold()} AS hit FROM g)
+    SELECT type, count(*)::BIGINT AS gold, (count(*) FILTER (hit) / count(*))::DOUBLE AS recall FROM (SELECT document_id, type, bool_or(hit) AS hit FROM e GROUP BY ALL) GROUP BY type""",
+)
 def synthetic_recall(spark, sf_dir):
-    forms = synth.generate(spark, 2000, noise=False).withColumnRenamed("document_id", "doc_id").withColumnRenamed("entities", "gold")
+    forms = generated(spark, sf_dir, noise=False).withColumnRenamed("document_id", "doc_id").withColumnRenamed("entities", "gold")
     gold = evaluate.key_set(rows(forms, "gold", "type", "value"))
     found = evaluate.key_set(rows(pipeline.extract(forms), "entities", "type", "value"))
-    return evaluate.metrics(evaluate.outcomes(gold, found)).where("level = 'type' AND name NOT IN ('NAME', 'ADDRESS')").select(F.col("name").alias("type"), "recall")
+    by_type = evaluate.metrics(evaluate.outcomes(gold, found)).where("level = 'type'")
+    return by_type.select(F.col("name").alias("type"), (F.col("tp") + F.col("fn")).alias("gold"), "recall")
 
 
-@query("extract_entities", None, FORMS)
+@query("extract_entities", f", {oracle.extracted()} SELECT doc_id, ord, {', '.join(chr(34) + f + chr(34) for f in pipeline.ENTITY_FIELDS)} FROM entities", FORMS)
 def extract_entities(forms):
     return pipeline.entity_rows(pipeline.extract(forms)).select("doc_id", "ord", *pipeline.ENTITY_FIELDS)
 
 
-@query("redacted_forms", None, FORMS)
+@query(
+    "redacted_forms",
+    f""", {oracle.extracted()},
+    s AS (SELECT doc_id, start, "end", type, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", type) AS k FROM entities WHERE start IS NOT NULL),
+    w AS (SELECT doc_id, text, 0 AS k, '' AS out, 0 AS upto FROM src
+      UNION ALL SELECT w.doc_id, w.text, s.k, CASE WHEN s.start >= w.upto THEN w.out || substr(w.text, w.upto + 1, s.start - w.upto) || '[' || s.type || ']' ELSE w.out END, CASE WHEN s.start >= w.upto THEN s."end" ELSE greatest(w.upto, s."end") END FROM w JOIN s ON w.doc_id = s.doc_id AND s.k = w.k + 1)
+    SELECT doc_id, arg_max(out, k) || substr(arg_max(text, k), arg_max(upto, k) + 1) AS redacted FROM w GROUP BY doc_id""",
+    FORMS,
+)
 def redacted_forms(forms):
     return pipeline.redact(pipeline.extract(forms)).select("doc_id", "redacted")
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formsift.functions.text import extension, strip
+from formsift.operators.extract import opened
 
 IMAGES = (".png", ".jpg", ".jpeg")
 SUPPORTED = (".pdf", ".docx", ".xlsx", ".xls", *IMAGES)
@@ -85,11 +86,29 @@ def pdf_pages(content: bytes) -> list[str]:
         return [page.get_text("text").strip() for page in pdf]
 
 
+def first_read(engines: list, path: str, content: bytes) -> list[tuple[int, str]]:
+    """(page, text) of the first engine that finds any text; one that fails finds
+    none, unless all do."""
+    failed = None
+    for ocr in engines:
+        try:
+            read = [(i, t.strip()) for i, t in enumerate(ocr(path, content), 1) if t.strip()]
+        except Exception as e:
+            failed = e
+            continue
+        if read:
+            return read
+    if failed and len(engines) == 1:
+        raise failed
+    return []
+
+
 def load_one(path: str, content: bytes, pdf: Callable[[bytes], list[str]] = pdf_pages, ocr: Callable[[str, bytes], list[str]] | None = None) -> tuple:
     """(text, needs_ocr, pages, status, error) of one file.
 
-    ocr: path and bytes to the texts of pages; it replaces what was read only if
-    it finds any text, and multi-page results are headed by their page numbers."""
+    ocr: path and bytes to the texts of pages, or several such, of which the first
+    that finds any text is taken; it replaces what was read only then, and
+    multi-page results are headed by their page numbers."""
     kind = path[path.rfind(".") :].lower() if "." in path else ""
     try:
         if kind == ".docx":
@@ -104,8 +123,8 @@ def load_one(path: str, content: bytes, pdf: Callable[[bytes], list[str]] = pdf_
             return "", False, [], "rejected", f"unsupported file type: {kind or 'none'}"
         text = "\n".join(t for t in texts if t)
         needs = kind in IMAGES or (kind == ".pdf" and len(text.strip()) < LEAST_TEXT)
-        if needs and ocr is not None:
-            read = [(i, t.strip()) for i, t in enumerate(ocr(path, content), 1) if t.strip()]
+        if needs and ocr:
+            read = first_read(ocr if isinstance(ocr, list | tuple) else [ocr], path, content)
             if read:
                 text = "\n".join(f"Page {i}\n{t}" if head else t for i, t in read)
                 texts = [t for _, t in read]
@@ -121,19 +140,27 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_documents(files: DataFrame, pdf: Callable[[bytes], list[str]] = pdf_pages, ocr: Callable[[str, bytes], list[str]] | None = None) -> DataFrame:
-    """Texts of (path, content) rows."""
+    """Texts of (path, content) rows. pdf and ocr are made once a task if they have a method `open`."""
 
     def run(batches):
+        engines = [opened(o) for o in (ocr if isinstance(ocr, list | tuple) else [ocr] if ocr else [])]
+        read_pdf = opened(pdf)
         for batch in batches:
-            rows = [(p, *load_one(p, c, pdf, ocr)) for p, c in zip(batch["path"], batch["content"])]
+            rows = [(p, *load_one(p, c, read_pdf, engines)) for p, c in zip(batch["path"], batch["content"])]
             yield pd.DataFrame(rows, columns=["path", "text", "needs_ocr", "pages", "status", "error"])
 
     return files.select("path", "content").mapInPandas(run, LOADED)
 
 
-def accepted(files: DataFrame, name: str = "path") -> DataFrame:
-    """Files of supported types, one a name."""
-    return files.where(extension(F.col(name)).isin(*SUPPORTED)).dropDuplicates([name])
+def accepted(files: DataFrame, name: str = "path", needed: bool = False) -> DataFrame:
+    """Files of supported types, one a file name, whatever folder it lies in: that
+    of the least path. needed: it is an error if there is none."""
+    own = F.regexp_extract(name, r"[^/\\]*$", 0)
+    first = files.where(extension(F.col(name)).isin(*SUPPORTED)).groupBy(own.alias("__name")).agg(F.min(name).alias("__path"))
+    out = files.join(first.select("__path"), F.col(name) == F.col("__path"), "left_semi").dropDuplicates([name])
+    if needed and out.isEmpty():
+        raise ValueError("no supported file with any bytes")
+    return out
 
 
 def ocr_lines(lines):
@@ -160,13 +187,12 @@ def regions(width, height):
     return F.array(box(0.22, 0.67), box(0.50, 0.99))
 
 
+EXAMPLES = "text string, entities array<struct<start:int,end:int,label:string>>"
+
+
 def read_examples(spark: SparkSession, *paths: str) -> DataFrame:
-    """Training examples (text, entities) of JSON files, joined by name."""
-    out = None
-    for p in paths:
-        one = spark.read.option("multiLine", True).json(p).select("text", "entities")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Training examples (text, entities) of JSON files."""
+    return spark.read.schema(EXAMPLES).option("multiLine", True).json(list(paths))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

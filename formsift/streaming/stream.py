@@ -28,12 +28,14 @@ def windowed_counts(extracted: DataFrame, at: str = "at", width: str = "10 minut
 
 
 def write_stream(extracted: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append entities to Parquet; per-document counts go beside them."""
+    """Write entities to Parquet; per-document counts go beside them. Each batch has
+    a folder of its own by number, and a batch that is run again replaces it, so
+    each document is there once."""
 
     def batch(df: DataFrame, number: int) -> None:
         df = df.persist()
-        df.write.mode("append").parquet(f"{path}/entities")
-        document_analytics(df).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/analytics")
+        df.write.mode("overwrite").parquet(f"{path}/entities/batch={number}")
+        document_analytics(df).write.mode("overwrite").parquet(f"{path}/analytics/batch={number}")
         df.unpersist()
 
     writer = extracted.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
