@@ -32,12 +32,12 @@ import re
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from formsift.llm.bpe import slices
-from formsift.llm.common import fresh, prepare
+from formsift.llm.common import fresh, prepare, staged
 
 #: Base rules: kind, pattern, group that must have least so many characters, that number (fixed values).
 BASE = (
@@ -321,11 +321,11 @@ def fit(df: DataFrame, text: str = "text", most: int = MAX_LABELLED) -> Grammar:
 
     found = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "kind string, value string, n bigint")
     # At most `most` strings a kind and task, and as many triples as there are classes.
-    summed = found.groupBy("kind", "value").agg(F.min("n").alias("least"), F.sum(F.when(F.col("kind") == "", F.col("n"))).alias("n"))
-    first = F.row_number().over(Window.partitionBy("kind").orderBy("least", "value"))
-    rows = summed.withColumn("first", first).where((F.col("kind") == "") | (F.col("first") <= most)).collect()
-    labelled = {kind: [r["value"] for r in rows if r["kind"] == kind] for kind, *_ in BASE}
-    return Grammar(labelled | published_grammar()[0], {r["value"]: r["n"] for r in rows if r["kind"] == ""})
+    found = staged(found, "gathered")
+    least = lambda kind: found.where(F.col("kind") == kind).select("n", "value").distinct().orderBy("n", "value").limit(most).collect()
+    labelled = {kind: [r["value"] for r in least(kind)] for kind, *_ in BASE}
+    counts = found.where("kind = ''").groupBy("value").agg(F.sum("n").alias("n")).collect()
+    return Grammar(labelled | published_grammar()[0], {r["value"]: r["n"] for r in counts})
 
 
 SECRETS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
