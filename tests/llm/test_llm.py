@@ -17,7 +17,7 @@ from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from formsift.llm import bpe, chat, neardup, packing, pages, quality, secrets, simhash, tokenfiles, warc, winnow
-from formsift.llm.common import Scratch, shard_of, shared_path, write_frames
+from formsift.llm.common import Scratch, staged, shard_of, shared_path, write_frames
 from formsift.llm.queries import vocabulary
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -482,18 +482,32 @@ def test_main_text(spark):
     assert pages.main_texts(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def marked(html, *marks):
+    return [t for _, m, t in pages.parse(html)[0] if m in marks]
+
+
 def test_marks_inside_articles():
     html = "<body class='has-comments'><article class='post ad-free'><p>a</p><article class='comment'><p>me</p></article><div class='social-share'>s</div><span class=ad>x<span>y</span></span>b</article><aside>c</aside>"
-    assert [t for _, p, t in pages.blocks(html) if p == 1] == ["a", "b"]
+    assert marked(html, pages.CONTENT) == ["a", "b"] and marked(html, pages.NOISE) == ["me", "s", "xy"] and marked(html, pages.NOISE_OUT) == ["c"]
 
 
 def test_articles_below_layout_words():
-    kept = lambda html: [t for _, p, t in pages.blocks(html) if p == 1]
+    kept = lambda html: marked(html, pages.CONTENT)
     assert kept("<div id=page class='site no-sidebar'><article><p>a</p><nav>n</nav></article><div class=comments><article>me</article></div></div>") == ["a"]
     assert kept("<div class='two-side-layout'><main>a</main><footer>f</footer></div>") == ["a"]
     assert kept("<div class=page-header><nav><article>n</article></nav></div><article>a</article><div class=sidebar><article>t</article></div>") == ["a"]
-    assert [(p, t) for _, p, t in pages.blocks("<p>a long story</p><div class=sidebar><article>t</article></div>")] == [(2, "a long story"), (0, "t")]
-    assert [(p, t) for _, p, t in pages.blocks("<p>a story</p><div class=comments><article class=comment>me and me</article></div>")] == [(2, "a story"), (0, "me and me")]
+    assert [(m, t) for _, m, t in pages.parse("<p>a long story</p><div class=sidebar><article>t</article></div>")[0]] == [(pages.UNKNOWN, "a long story"), (pages.LAYOUT, "t")]
+    assert [(m, t) for _, m, t in pages.parse("<p>a story</p><div class=comments><article class=comment>me and me</article></div>")[0]] == [(pages.UNKNOWN, "a story"), (pages.NOISE, "me and me")]
+
+
+def test_nothing_shown_is_lost():
+    kept = lambda html: marked(f"<article>{html}</article>", pages.CONTENT)
+    assert kept('one <svg class="i"/> two') == ["one two"]
+    assert kept("so <math><mi>x</mi><annotation>x_1</annotation></math> is") == ["so x is"]
+    assert kept("<svg><g><path d='x'/><text>on</text><p>two</p>") == ["on", "two"]
+    assert kept("<p>a<title>never ends<p>b</p>") == ["a", "b"] and kept("<script>x<p>b</p><script>y</script>c") == ["c"] and kept("<script>x<p>b</p>c") == ["b", "c"]
+    assert kept("<object>o</object> <canvas>c</canvas> d<noscript>n</noscript>") == ["o c d"]
+    assert kept("<p>" + "long text " * 200_000) == [("long text " * 200_000).strip()]
 
 
 def test_entropy_overrules_layout_words_in_articles(spark):
@@ -503,6 +517,47 @@ def test_entropy_overrules_layout_words_in_articles(spark):
     assert got == {i: f"t{i} text t{i}" for i in range(20)}
 
 
+def made_pages(hosts=4, n=30):
+    """Pages without marks: banner and links that a host repeats, stories of their own."""
+    out = []
+    for h in range(hosts):
+        top, links = f"<div class=z{h % 3}><p>Site number {h}</p></div>", "".join(f"<li><a>{x}</a></li>" for x in "abc")
+        for i in range(n):
+            story = "".join(f"<p>part {k} of story {h * 100 + i}</p>" for k in range(1 + i * 7 % 5))
+            text = " ".join(f"part {k} of story {h * 100 + i}" for k in range(1 + i * 7 % 5))
+            out.append((h * 1000 + i, f"https://h{h}.example/{i}", f"<body>{top}<ul>{links}</ul><div class=story>{story}</div><div>all rights kept</div></body>", text))
+    return out
+
+
+def test_pages_without_marks(spark):
+    rows = made_pages()
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, want string").repartition(3)
+    for most in (pages.MOST_SENT, 0):  # keys sent to tasks, keys joined
+        assert all(r["text"] == r["want"] for r in rows_of(pages.extract_main(df, most=most)))
+
+
+def test_entropy_decides(spark, monkeypatch):
+    """Without entropies of content and presentation other blocks are kept, marked pages included."""
+    page = "<article><p>text {0}</p><p class=more>Read more of this every day</p></article>"
+    rows = [(i - 100, f"http://h.example/{i}", page.format(i)) for i in range(30)] + [r[:3] for r in made_pages()]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    texts = lambda: {r["page_id"]: r["text"] for r in rows_of(pages.main_texts(df))}
+    with_entropy = texts()
+    assert with_entropy[-97] == "text 3" and with_entropy[1001].startswith("part 0 of")
+    monkeypatch.setattr(pages, "_entropy", lambda n, clogc: pages.F.lit(0.5))
+    assert texts()[1001].startswith("Site number") or texts()[-97].endswith("every day")
+
+
+def test_presentation_counts(spark):
+    """Of two unmarked places whose texts differ alike, the one of fixed make weighs less."""
+    page = "<section><p>t{0}</p>{1}</section><div><p>s{0}</p></div>"
+    two = [(i, "http://h.example/", page.format(i, "".join(f"<p>u{i}.{k}</p>" for k in range(i % 9)))) for i in range(40)]
+    parsed = staged(pages.parse_pages(spark.createDataFrame(two, "page_id bigint, url string, html string"), ["page_id"], "url", "html"), "pages")
+    weight = {r["key"]: r["importance"] for r in rows_of(pages.importance(parsed))}
+    varied, fixed = [pages.signed(up[0], mark) for up, mark, _ in pages.parse(two[0][2], "h.example")[0]]
+    assert set(weight) == {varied, fixed} and weight[varied] > weight[fixed]
+
+
 def test_style_tree_drops_what_a_host_repeats(spark):
     page = "<body><div class=top><p>Best site of all</p></div><div class=story><p>{}</p><p>{}</p></div></body>"
     rows = [(i, f"http://h.example/{i}", page.format(f"story {i} begins", f"and {i * 7} ends"), "x", "y") for i in range(40)]
@@ -513,12 +568,14 @@ def test_style_tree_drops_what_a_host_repeats(spark):
 
 def test_parser_never_loses_text():
     rng = random.Random(6)
-    parts = ["<p>", "</p>", "<div class='x'>", "</div>", "<b>", "</b>", "text ", "&amp;", "&#233;", "<", ">", "<!-- c -->", "<br/>", "<li>", "</ul>", "word", "<a href='>'>", "</a>", "<td>", "</table>"]
+    parts = ["<p>", "</p>", "<div class='x'>", "</div>", "<b>", "</b>", "text ", "&amp;", "&#233;", "< ", " >", "<!-- c -->", "<br/>", "<li>", "</ul>", "word", "<a href='>'>", "</a>", "<td>", "</table>"]
     for _ in range(500):
         html = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
-        for node, prior, text in pages.blocks(html):
-            assert text == " ".join(text.split()) and text and prior in (0, 1, 2) and isinstance(node, str)
-    assert [t for *_, t in pages.blocks("a" + "<div>" * 3000 + entities.escape("<x>"))] == ["a", "<x>"]
+        found = pages.parse(html)[0]
+        assert all(text == " ".join(text.split()) and text and mark in range(7) and len(up) <= pages.UP for up, mark, text in found)
+        plain = re.sub(r"<!--.*?-->|<(?:/?[a-z]+(?: class='x'| href='>')?/?)>", " ", html)
+        assert "".join("".join(t for *_, t in found).split()) == "".join(entities.unescape(plain).split())
+    assert [t for *_, t in pages.parse("a" + "<div>" * 3000 + entities.escape("<x>"))[0]] == ["a", "<x>"]
 
 
 # Archives
