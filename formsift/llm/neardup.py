@@ -12,7 +12,9 @@ hashes two linked texts share one among the first n - ceil(0.8 n) + 1 of each,
 so buckets of these prefixes hold every linked pair. Any order will do for that;
 counts are kept in SLOTS sums, whatever the size of the input, and only make
 common hashes rare in prefixes. What precedes the first shared hash differs,
-which rules out most of them. All candidates are confirmed on the whole sets.
+which rules out most of them. All candidates are confirmed on the whole sets, once
+a sketch of each set (parities of its hashes by SKETCH slots, whose differences are
+never more than those of the sets) has left out what can't be similar.
 
 A bucket of over BUCKET sets is not paired out: all are compared with LEADERS of
 its sets and components are taken; what is then still in different components
@@ -29,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formsift.llm.bpe import slices
+from formsift.llm.bpe import list_array, slices
 from formsift.llm.common import Scratch, fresh, prepare, staged
 from formsift.llm.simhash import SEED, components, links, majority, shingle_hashes
 
 SHINGLE = 5
 #: Similarity asked for, as a fraction.
 PART, WHOLE = 4, 5
-SLOTS, LEAST_BITS, MOST_BITS = 1 << 18, 1 << 22, 1 << 28
-BUCKET, LEADERS, SALTS = 32, 8, 64
+SLOTS, BLOCKS, DEALS, LEAST_BITS, MOST_BITS = 1 << 18, 64, 32, 1 << 22, 1 << 28
+BUCKET, LEADERS, SALTS, SKETCH = 32, 8, 64, 1024
 #: Constants whose xor gives each leader its own order.
 TURNS = [(0x9E3779B97F4A7C15 * i) % (1 << 63) for i in range(LEADERS)]
 
@@ -59,23 +61,38 @@ def set_name(found: np.ndarray) -> int:
 
 
 def slot_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """How many sets hold a hash of each slot; sums of SLOTS numbers a task."""
+    """How many sets hold a hash of each slot. A task gives its counts as BLOCKS
+    binary rows, which are added up in two steps, so no task reads them all."""
+    width = SLOTS // BLOCKS
+    kinds = "block int, deal int, counts binary"
 
-    def run(batches):
-        counts = np.zeros(SLOTS, np.int64)
+    def rows(sums: dict[int, np.ndarray], deal: int):
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([deal] * len(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], ["block", "deal", "counts"])
+
+    def count(batches):
+        counts, deal = np.zeros(SLOTS, np.int64), 0
         for batch in batches:
             for part in slices(batch):
+                deal = part.column(1)[0].as_py() if part.num_rows else deal
                 for t in part.column(0).to_pylist():
                     np.add.at(counts, shingle_set(t or "") & (SLOTS - 1), 1)
-        at = np.flatnonzero(counts)
-        for i in range(0, len(at), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 10_000]), pa.array(counts[at[i : i + 10_000]])], ["slot", "c"])
-
-    sums = docs.select(text).mapInArrow(run, "slot bigint, c bigint").groupBy("slot").agg(F.sum("c").alias("c"))
-    out = np.zeros(SLOTS, np.int64)
-    got = sums.toArrow()
-    out[got["slot"].to_numpy()] = got["c"].to_numpy()
-    return out
+        yield from rows({i: counts[i * width : (i + 1) * width] for i in range(BLOCKS)}, deal)
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                found = np.frombuffer(counts, "<i8")
+                sums[block] = sums[block] + found if block in sums else found
+        yield from rows(sums, 0)
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = docs.select(text, F.pmod(F.spark_partition_id(), F.lit(DEALS)).alias("deal")).mapInArrow(count, kinds)
+    some = made.repartition(parts, "block", "deal").mapInArrow(add, kinds)
+    out = np.zeros((BLOCKS, width), np.int64)
+    for r in some.repartition(BLOCKS, "block").mapInArrow(add, kinds).collect():
+        out[r["block"]] += np.frombuffer(bytes(r["counts"]), "<i8")
+    return out.reshape(-1)
 
 
 def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -86,25 +103,50 @@ def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return found[np.lexsort((found, counts[found & (SLOTS - 1)]))[:most]]
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """Parities of the hashes in SKETCH slots."""
+    odd = np.bincount((found >> 20) & (SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def named(docs: DataFrame, key: str, text: str, counts: np.ndarray) -> DataFrame:
-    """(key, s, n, fp, tokens): name, size and SimHash of each text's set, and its prefix."""
+    """(key, s, n, fp, sketch, tokens): name, size, SimHash and sketch of each text's
+    set, and its prefix, unless the task has just met the same set."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch):
                 hashes = [shingle_hashes(t or "", SHINGLE) for t in part.column(1).to_pylist()]
                 prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
                 sets = [distinct(h) for h in hashes]
-                first = [prefix(x, counts) for x in sets]
+                names = [set_name(x) for x in sets]
+                first = []
+                for name, x in zip(names, sets):
+                    first.append(x[:0] if name in seen else prefix(x, counts))
+                    seen.add(name)
+                if len(seen) > 200_000:
+                    seen.clear()
+                sketches = list_array([sketch(x) for x in sets], 8, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([set_name(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(prints), pa.array(first, pa.list_(pa.int64()))], [key, "s", "n", "fp", "tokens"]
+                    [part.column(0), pa.array(names, pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(prints), sketches, pa.array(first, pa.list_(pa.int64()))], [key, "s", "n", "fp", "sketch", "tokens"]
                 )
 
     source = docs.select(key, text)
-    empty = {"s": F.lit(0).cast("bigint"), "n": F.lit(0), "fp": F.lit(0).cast("bigint"), "tokens": F.array().cast("array<bigint>")}
+    longs = F.array().cast("array<bigint>")
+    empty = {"s": F.lit(0).cast("bigint"), "n": F.lit(0), "fp": F.lit(0).cast("bigint"), "sketch": longs, "tokens": longs}
     return source.mapInArrow(run, source.drop(text).withColumns(empty).schema)
 
 
+def possible(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sizes and sketches leave it open that they are similar."""
+    one = names.select(F.col("s").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
+    two = names.select(F.col("s").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    sizes = F.least("n_a", "n_b") * WHOLE >= F.greatest("n_a", "n_b") * PART
+    return pairs.join(one, "a").join(two, "b").where(sizes & (apart * (PART + WHOLE) <= (F.col("n_a") + F.col("n_b")) * (WHOLE - PART))).select("a", "b")
+
+
 def print_pairs(ids: DataFrame) -> DataFrame:
     """(a, b) sets of SimHash at most two bits apart, as chains: all sets of a
     fingerprint hang on its least, and those on each other by the covering tables."""
@@ -142,6 +184,9 @@ def bucket_pairs(rows: DataFrame, most: int) -> DataFrame:
     def out(token, salt, s, n, i):
         if not len(token):
             return
+        # One row a set and token: equal sets of different tasks stand together.
+        one = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (s[1:] != s[:-1])))
+        token, salt, s, n, i = token[one], salt[one], s[one], n[one], i[one]
         new = np.append(True, token[1:] != token[:-1])
         sizes = np.diff(np.append(np.flatnonzero(new), len(token)))
         ids = np.repeat(np.arange(len(sizes)), sizes)
@@ -197,12 +242,17 @@ def whole_sets(docs: DataFrame, text: str, needed: np.ndarray) -> DataFrame:
     return docs.select(text).mapInArrow(run, "s bigint, tokens array<bigint>").dropDuplicates(["s"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough."""
+def confirmed(pairs: DataFrame, docs: DataFrame, text: str, scratch: Scratch) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets are similar enough; written."""
+    needed = needed_filter(pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct())
+    sets = scratch.write(whole_sets(docs, text, needed), "whole")
     one = sets.select(F.col("s").alias("a"), F.col("tokens").alias("x"))
     two = sets.select(F.col("s").alias("b"), F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "a").join(two, "b").where(both * (PART + WHOLE) >= (F.size("x") + F.size("y")) * PART).select("a", "b")
+    out = pairs.join(one, "a").join(two, "b").where(both * (PART + WHOLE) >= (F.size("x") + F.size("y")) * PART).select("a", "b")
+    out = scratch.write(out, "similar")
+    scratch.drop(sets)
+    return out
 
 
 def similar_groups(docs: DataFrame, key: str, text: str, most: int = BUCKET) -> DataFrame:
@@ -213,12 +263,12 @@ def similar_groups(docs: DataFrame, key: str, text: str, most: int = BUCKET) ->
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with Scratch(spark, "similar") as scratch:
         ids = scratch.write(named(docs, key, text, counts), "sets")
-        own = scratch.write(ids.groupBy("s").agg(F.min(key).alias("low")), "names")
+        own = scratch.write(ids.groupBy("s").agg(F.min(key).alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "names")
         hot = np.flatnonzero(counts > usual)
         common = F.array_contains(F.lit([int(x) for x in hot]), F.col("token").bitwiseAND(F.lit(SLOTS - 1).cast("bigint"))) if len(hot) else F.lit(False)
         rows = ids.select("s", "n", F.posexplode("tokens").alias("i", "token"))
         rows = rows.select("token", F.when(common, F.pmod("s", F.lit(SALTS))).otherwise(F.lit(-1)).cast("int").alias("salt"), "s", "n", "i")
-        dealt = rows.repartition(parts, "token", "salt").dropDuplicates(["token", "salt", "s"]).sortWithinPartitions("token", "s")
+        dealt = rows.repartition(parts, "token", "salt").sortWithinPartitions("token", "s")
         found = scratch.write(bucket_pairs(dealt, most), "pairs")
         prints = scratch.write(print_pairs(ids), "prints")
         scratch.drop(ids)
@@ -228,11 +278,9 @@ def similar_groups(docs: DataFrame, key: str, text: str, most: int = BUCKET) ->
         turned = [F.col("s").bitwiseXOR(F.lit(t).cast("bigint")) for t in TURNS]
         first = large.groupBy("token").agg(F.array(*[F.min(F.struct("i", x.alias("s")))["s"].bitwiseXOR(F.lit(t).cast("bigint")) for x, t in zip(turned, TURNS)]).alias("leaders"))
         led = large.join(scratch.write(first, "leaders"), "token").select("s", F.explode(F.array_distinct("leaders")).alias("l")).where("s <> l")
-        led = led.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
-        pairs = scratch.write(direct.union(led).distinct(), "candidates")
-        needed = needed_filter(pairs.select(F.col("a").alias("s")).union(pairs.select("b")).union(large.select("s")).distinct())
-        sets = scratch.write(whole_sets(docs, text, needed), "whole")
-        edges = scratch.write(confirmed(pairs, sets), "edges")
+        led = led.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"))
+        pairs = scratch.write(possible(direct.union(led).distinct(), own), "candidates")
+        edges = confirmed(pairs, docs, text, scratch)
         # What leaders left in different components is compared in full.
         roots = components(edges)
         placed = large.join(roots, F.col("s") == F.col("node"), "left").select("token", "s", "n", "i", F.coalesce("root", "s").alias("c"))
@@ -240,9 +288,10 @@ def similar_groups(docs: DataFrame, key: str, text: str, most: int = BUCKET) ->
         split = scratch.write(placed.join(split, "token"), "split")
         a, b = split.alias("a"), split.alias("b")
         apart = (F.col("a.token") == F.col("b.token")) & (F.col("a.s") < F.col("b.s")) & (F.col("a.c") != F.col("b.c")) & may_link(*[F.col(x) for x in ("a.n", "a.i", "b.n", "b.i")])
-        late = scratch.write(a.join(b, apart).select(F.col("a.s").alias("a"), F.col("b.s").alias("b")).distinct(), "late")
-        more = confirmed(late.join(pairs, ["a", "b"], "left_anti"), sets)
-        roots = components(edges.union(more))
+        late = a.join(b, apart).select(F.col("a.s").alias("a"), F.col("b.s").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        late = scratch.write(possible(late, own), "late")
+        if not late.isEmpty():
+            roots = components(edges.union(confirmed(late, docs, text, scratch)))
         groups = own.join(roots, F.col("s") == F.col("node"), "left").groupBy(F.coalesce("root", "s")).agg(F.min("low").alias("component"))
         return staged(groups.select("component"), "groups")
 
