@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formsift.llm.common import prepare
+from formsift.llm.common import prepare, tokenizer_file
 
 NONE = np.iinfo(np.int32).max
 #: Words kept with their ids in a worker, and the longest such word in bytes.
@@ -265,7 +265,7 @@ _CODERS: dict[str, tuple[NumpyBpe, WordMemo]] = {}
 def coder(path: str) -> tuple[NumpyBpe, WordMemo]:
     """One coder a worker and file."""
     if path not in _CODERS:
-        bpe = NumpyBpe(path)
+        bpe = NumpyBpe(tokenizer_file(path))
         _CODERS[path] = (bpe, WordMemo(bpe.encode_words, ascii_words))
     return _CODERS[path]
 

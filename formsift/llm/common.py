@@ -109,6 +109,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """A tokenizer file on this machine, driver or executor: a path, or the name of
+    a public one, looked up where the code runs."""
+    if os.path.exists(name):
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once and use it many times inside body."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -130,8 +140,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
-#: Most shards of an order; beyond it they grow, and tasks stream and spill more.
-MAX_SHARDS = 10_000
+#: Most shards of an order, as their bounds are one constant; beyond it they grow, and tasks stream longer.
+MAX_SHARDS = 50_000
 
 
 def order_bounds(df: DataFrame, key: str, text: str, shard_bytes: int) -> list[int]:

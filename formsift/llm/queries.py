@@ -20,9 +20,8 @@ def vocabulary(name: str) -> str:
 def _table(module: str, function: str, table: str, *args) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(spark)
-        values = [vocabulary(a) if isinstance(a, str) and a.endswith(".json") else a for a in args]
         run = getattr(importlib.import_module(f"formsift.llm.{module}"), function)
-        return run(read_table(spark, sf_dir, table), *values)
+        return run(read_table(spark, sf_dir, table), *args)
 
     return query
 

@@ -2,7 +2,7 @@
 
 A shard file holds, back to back, parts that each end in a zero byte:
 
-    header   "BPS1", u32 shard, u32 ids in a full block, u8 planes a bit (1) or byte (8) wide
+    header   "BPS2", u64 shard, u32 ids in a full block, u8 planes a bit (1) or byte (8) wide
     blocks   each plane of up to `block` ids, one after the other, each a zstandard frame
     docs     zstandard of: i64 keys, u8 key present, u32 ids of each document
     index    of each block: u64 offset, u32 ids, u8 planes, then u32 bytes of each plane
@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formsift.llm.bpe import MEMO_BYTES, MEMO_WORDS, WordMemo, ascii_words, byte_letters, normalize, slices
-from formsift.llm.common import in_order, order_bounds, prepare, read_files, shared_path, write_frames
+from formsift.llm.common import in_order, order_bounds, prepare, read_files, shared_path, tokenizer_file, write_frames
 
 BLOCK_IDS = 1 << 16
 #: Bytes of text that one task takes, about, and ids after which it begins a new file.
 TASK_BYTES, FILE_IDS = 12 << 20, 1 << 24
 #: Files that one task may write, as bits of the shard number.
 SUB_BITS = 18
-HEADER, TRAILER = struct.Struct("<4sIIB"), struct.Struct("<QIQIQQ4s")
+HEADER, TRAILER = struct.Struct("<4sQIB"), struct.Struct("<QIQIQQ4s")
 END = b"\0"
 
 
@@ -128,10 +128,10 @@ def library_memo(path: str, words: int = MEMO_WORDS, pieces: int = MEMO_PIECES)
     if path not in _LIBRARY:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(tokenizer_file(path))
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        cut, stretch, pieces_of = splitter(path)
+        cut, stretch, pieces_of = splitter(tokenizer_file(path))
         model, known, most = tokenizer.model, {}, {}
 
         def piece(p: str) -> bytes:
@@ -193,7 +193,7 @@ class ShardWriter:
         return data + END
 
     def start(self) -> Iterator[bytes]:
-        yield self._frame(HEADER.pack(b"BPS1", self.shard, self.block, self.width))
+        yield self._frame(HEADER.pack(b"BPS2", self.shard, self.block, self.width))
 
     def _flush(self, every: bool) -> Iterator[bytes]:
         ids = np.concatenate(self.pending) if self.pending else np.zeros(0, np.uint32)
@@ -235,7 +235,7 @@ class ShardReader:
         self.raw = memoryview(content)
         magic, self.shard, self.block, self.width = HEADER.unpack_from(content)
         index_at, index_len, docs_at, docs_len, self.n_docs, self.n_ids, end = TRAILER.unpack_from(content, len(content) - TRAILER.size - 1)
-        if (magic, end) != (b"BPS1", b"BPSE"):
+        if (magic, end) != (b"BPS2", b"BPSE"):
             raise ValueError("not a bit-plane shard")
         self.blocks, at = [], index_at
         while at < index_at + index_len:

@@ -10,11 +10,15 @@ The reader checks each member: gzip checksum, version line, head, block length
 and digests. After a failed check it searches for the next gzip magic or version
 line from one byte on, takes the first place from which a whole valid record can
 be read, and logs the bytes between as a quarantined gap (from, to, reason).
-Members of more than MAX_RECORD bytes inflated count as damaged. Bare
-(uncompressed) records are read too, by version line and length.
+Records may be of any length; a reader may set a limit, beyond which an inflated
+member counts as damaged and is reported as a gap. Bare (uncompressed) records are
+read too, by version line and length.
 
 Null html is an empty payload. Null page_ids come back as null (the smallest of
-equal payloads' ids; such rows never stand for others that have an id)."""
+equal payloads' ids; such rows never stand for others that have an id). Repeated
+rows are records each; of equal payloads that share the largest page_id all are
+responses. Archive files hold about FILE_BYTES, and more only for one long record.
+An empty table gives no records. Only the three columns named are written."""
 
 from __future__ import annotations
 
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from formsift.llm.bpe import slices
 from formsift.llm.common import prepare, read_files, shared_path, write_frames
 
-MIN_REVISIT, MAX_RECORD = 1000, 1 << 30
+MIN_REVISIT, FILE_BYTES = 1000, 32 << 20
 WINDOW = 1 << 16
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -78,23 +82,24 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """Add `refers_to`: the largest page_id with the same payload, if another row's.
 
     Only digests and ids are summed by payload; copies are summed on the map
-    side. Of rows that share that page_id too, all are responses."""
-    body = F.coalesce("html", F.lit(""))
-    base = pages.select("page_id", "url", body.alias("html"), F.sha1(F.encode(body, "UTF-8")).alias("digest"), F.octet_length(body).alias("bytes"))
-    same = pages.select("page_id", body.alias("html")).where(F.octet_length("html") >= min_bytes).groupBy(F.sha1(F.encode("html", "UTF-8")).alias("same")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = base.join(same.drop("n"), (F.col("digest") == F.col("same")) & (F.col("bytes") >= min_bytes), "left")
+    side. Payloads below min_bytes take no part in the join."""
+    base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    small = base.where(F.octet_length("html") < min_bytes).withColumn("refers_to", F.lit(None).cast(pages.schema["page_id"].dataType))
+    large = base.where(F.octet_length("html") >= min_bytes).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
+    same = large.groupBy(F.col("digest").alias("same")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = large.join(same.drop("n"), F.col("digest") == F.col("same"), "left")
     other = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return joined.select("page_id", "url", "html", other.alias("refers_to"))
+    return small.unionByName(joined.select("page_id", "url", "html", other.alias("refers_to")))
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT, per_file: int = 20_000) -> None:
-    """One record a page, each a gzip member, in archive files of at most per_file records."""
+def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT, file_bytes: int = FILE_BYTES) -> None:
+    """One record a page, each a gzip member, in archive files of about file_bytes."""
     prepare(pages.sparkSession)
 
     def run(batches):
+        out, held = [], 0
         for batch in batches:
             for part in slices(batch):
-                out = []
                 for key, url, html, refers_to in zip(*(c.to_pylist() for c in part.columns)):
                     payload = html.encode("utf-8", "replace")
                     head, sha1 = http_head(len(payload)), sha1_field(payload)
@@ -103,13 +108,21 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT, per_fi
                     else:
                         more = (("WARC-Refers-To", page_name(refers_to)), ("WARC-Profile", PROFILE))
                         out.append(member(record("revisit", url or "", page_name(key), head, sha1, more)))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+                    held += len(out[-1])
+                    if held >= file_bytes:
+                        yield whole_file(out)
+                        out, held = [], 0
+        if out:
+            yield whole_file(out)
+
+    def whole_file(members):
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], ["frame"])
 
     frames = with_revisits(pages, min_bytes).mapInArrow(run, "frame binary")
-    write_frames(frames, path, per_file)
+    write_frames(frames, path, per_file=1)
 
 
-def inflate(raw: memoryview, at: int, limit: int) -> tuple[bytes, int] | None:
+def inflate(raw: memoryview, at: int, limit: int | None) -> tuple[bytes, int] | None:
     """(data, end) of the gzip member at a place, fed in small windows; none if damaged."""
     unzip, parts, n, pos = zlib.decompressobj(31), [], 0, at
     try:
@@ -120,21 +133,21 @@ def inflate(raw: memoryview, at: int, limit: int) -> tuple[bytes, int] | None:
             pos += len(piece)
             parts.append(unzip.decompress(piece))
             n += len(parts[-1])
-            if n > limit:
+            if limit is not None and n > limit:
                 return None
     except zlib.error:
         return None
     return b"".join(parts), pos - len(unzip.unused_data)
 
 
-def inflated_part(raw: memoryview, at: int, limit: int) -> bytes:
-    """What comes out of a damaged gzip member before its damage, limit bytes at most."""
+def inflated_part(raw: memoryview, at: int, limit: int | None) -> bytes:
+    """What comes out of a damaged gzip member before its damage, of limit bytes at most if there is one."""
     for step in (WINDOW, 1):
         unzip, parts, n, pos = zlib.decompressobj(31), [], 0, at
         # The second time, the window that fails goes in byte by byte.
         stop = len(raw) if step > 1 else at + (failed - at) // WINDOW * WINDOW
         with contextlib.suppress(zlib.error):
-            while pos < len(raw) and n <= limit and not unzip.eof:
+            while pos < len(raw) and (limit is None or n <= limit) and not unzip.eof:
                 piece = raw[pos : pos + (WINDOW if pos < stop else 1)]
                 parts.append(unzip.decompress(piece))
                 pos += len(piece)
@@ -184,7 +197,7 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]
     return head, block, end + 4
 
 
-def salvage(content: bytes, limit: int = MAX_RECORD) -> Iterator[tuple[str, object]]:
+def salvage(content: bytes, limit: int | None = None) -> Iterator[tuple[str, object]]:
     """("record", (from, to, head, block)) and ("gap", (from, to, reason)) of an
     archive, in order; together they cover every byte but padding. Records saved
     from inside a damaged member come before the gap that tells of the damage."""
@@ -279,7 +292,10 @@ def archive_digests(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_warc(pages.select("page_id", "url", "html"), path)
-    back = read_warc(spark, path, payloads=False).where("gap_end IS NULL")
+    back = read_warc(spark, path, payloads=False)
+    # Our own archives have no gaps; if one is found, records are lost and the query must not go on.
+    lost = F.raise_error(F.concat_ws(" ", F.lit("gap in an archive just written:"), "path", "start", "gap_end", "gap_reason"))
+    back = back.withColumn("record_type", F.when(F.col("gap_end").isNotNull(), lost.cast("string")).otherwise(F.col("record_type")))
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) AS bigint)")
     return back.select(number("name").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 

@@ -132,13 +132,13 @@ def test_token_files(spark, docs, empty):
 def test_shard_numbers_beyond_32_bits(spark):
     path = shared_path(spark, "far")
     frames = []
-    for shard in (8191 << tokenfiles.SUB_BITS, 9000 << tokenfiles.SUB_BITS):
+    for shard in (8192 << tokenfiles.SUB_BITS, 20_000 << tokenfiles.SUB_BITS):
         out = tokenfiles.ShardWriter(shard, 64, 1)
         parts = [*out.start(), *out.add(shard, np.array([5, 6, 2], "<u4"))]
         frames.append((bytearray(b"".join([*parts, *out.finish()])),))
     write_frames(spark.createDataFrame(frames, "frame binary").coalesce(1), path, per_file=1)
     got = sorted((r["key"], r["start"], r["n_tokens"]) for r in rows_of(tokenfiles.read_tokens(spark, path)))
-    assert got == [(8191 << tokenfiles.SUB_BITS, 0, 3), (9000 << tokenfiles.SUB_BITS, 3, 3)]
+    assert got == [(8192 << tokenfiles.SUB_BITS, 0, 3), (20_000 << tokenfiles.SUB_BITS, 3, 3)]
 
 
 def test_shards_by_binary_search(spark):
@@ -607,6 +607,18 @@ def test_archive_round_trip(spark):
     assert warc.archive_digests(df.limit(0)).count() == 0
 
 
+def test_long_addresses_and_files_bounded_in_bytes(spark):
+    rng = random.Random(4)
+    rows = [(i, "http://a.example/" + "u" * ((2 << 20) if i == 3 else 5), "".join(rng.choice("abcdefgh") for _ in range(20_000))) for i in range(12)] + [(20, "u", "z" * (3 << 20))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    path = shared_path(spark, "warc")
+    warc.write_warc(df, path, file_bytes=30_000)
+    back = rows_of(warc.read_warc(spark, path))
+    assert len({r["path"] for r in back}) >= 3 and all(r["gap_end"] is None for r in back)
+    assert {(warc.page_id(r["name"]), r["uri"], bytes(r["payload"]).decode()) for r in back} == set(rows)
+    assert warc.archive_digests(df).count() == len(rows)
+
+
 def records(n=30):
     rng = random.Random(1)
     out = []
