@@ -13,7 +13,6 @@ from formsift.llm.common import prepare, read_table, staged
 from formsift.llm.neardup import keep_one
 from formsift.llm.packing import packed_rows
 from formsift.llm.quality import keep_good
-from formsift.llm.queries import vocabulary
 from formsift.llm.secrets import mask_secrets
 
 
@@ -34,7 +33,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return packed_rows(docs, vocabulary("byte_bpe_50k.json"))
+    return packed_rows(docs, "byte_bpe_50k.json")
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("secret_scans", secret_scans), ("packing", packing)]
