@@ -9,7 +9,10 @@ merge that uses a token comes before the merge that makes it; the loader checks
 this and otherwise merges one occurrence a round.
 
 Null text counts as empty (no ids). Very long words take more rounds, never
-more memory than a few arrays of their length."""
+more memory than a few arrays of their length; very long texts are cut into words
+like others. Of pairs of equal rank the leftmost is merged first. Repeated rows are
+rows each, an empty table gives an empty result, and columns of any names stay but
+those that the ids and the decoded text are to have."""
 
 from __future__ import annotations
 

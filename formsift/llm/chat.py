@@ -7,7 +7,9 @@ templates, gets one after its first character, so that none is left; dropping
 each backslash and keeping what follows it restores the text.
 
 Rows are sorted by turn (nulls first), then role, then text; repeated rows
-stay. Null text or role counts as empty. A null conv_id is one conversation.
+stay. Null text or role counts as empty. A null conv_id is one conversation. Texts
+of any length are kept whole. An empty table gives an empty result; only the four
+columns named are read, so others may have any names.
 A conversation's rows meet in one task, as its text is one value; collecting
 combines on the map side, so that task reads one row from each map task."""
 

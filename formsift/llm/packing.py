@@ -14,7 +14,9 @@
    meets in one task.
 
 Null text counts as empty (just the end id); a null key stays null; repeated
-rows are separate documents."""
+rows are separate documents. A text of any length is cut into pieces of max_len.
+Pieces of one length are ranked by part and place, so ties don't arise. An empty
+table gives no pieces. Only the two columns named are read."""
 
 from __future__ import annotations
 

@@ -4,7 +4,9 @@ Fingerprint: A-Z in lower case, words between ASCII white space, shingles of
 three words joined by spaces with repeats (fewer words: the whole sequence),
 XXH64 with seed 42 of each; bit i is set if it is set in over half the hashes.
 No words: zero. Null text counts as empty; a null doc_id is never the name of
-a component that has another.
+a component that has another. Texts of any length give one number; a bit set in
+exactly half the hashes is not set. Repeated rows are rows of one component. An
+empty table gives an empty result; only the two columns named are read.
 
 Links: fingerprints at most `radius` bits apart. Give each of the 64 bits a
 non-zero code of radius + 1 bits; table v, for each non-zero v, keeps the bits

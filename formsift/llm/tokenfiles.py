@@ -11,7 +11,9 @@ A shard file holds, back to back, parts that each end in a zero byte:
 Within a block, plane p holds bit (or byte) p of every id, so equal high bits
 make long runs. The ids of a shard are one stream in key order; a reader gets
 any block by the index alone. Null text counts as empty, a null key sorts first
-and comes back null, repeated keys stay separate documents. Ids are the
+and comes back null, repeated keys stay separate documents (ordered by text), an empty
+table gives no files. Only the two columns named are read. Texts of any length are
+encoded whole; a block is all that a reader holds of their ids. Ids are the
 tokenizers library's; words are encoded once a worker where the tokenizer file
 shows that words do not influence each other, else whole texts are."""
 

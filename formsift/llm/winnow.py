@@ -5,7 +5,10 @@ smallest is chosen, the rightmost of equal ones; its position is kept. Any
 match of at least w + k - 1 code points shares a chosen hash. Texts of fewer
 than k code points have one gram, the whole text; empty or null texts have none.
 Texts of one gram to w grams count as one window. Long texts are worked
-through in blocks, with the same result."""
+through in blocks, with the same result. Repeated rows have equal fingerprints; an
+empty table gives an empty result; columns of any names stay but those that the
+positions and hashes are to have. In the order by key, rows of one key stand
+together and are worked through by one task, as a stream."""
 
 from __future__ import annotations
 
