@@ -19,8 +19,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def literal(x: str) -> str:
+    """A string as SQL."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(key: Column, table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
+    # One expression from SQL, as a call for each entry takes long to build.
+    return F.expr(f"map({', '.join(literal(x) for kv in table.items() for x in kv)})")[key]
 
 
 def strip(x: Column) -> Column:

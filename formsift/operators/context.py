@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from formsift import vocab
-from formsift.functions.text import let
+from formsift.functions.text import let, literal, lookup
 
 WINDOW = 120
 
@@ -41,9 +41,9 @@ def last_label(context: Column, backwards: Column, labels: Column) -> Column:
 
 
 def _labels(table: dict[str, list[str]], kind: Column) -> Column:
-    one = lambda x: F.struct(F.lit(x).alias("label"), F.lit(x[::-1]).alias("reversed"))
-    pairs = [x for k, v in table.items() for x in (F.lit(k), F.array(*map(one, v)))]
-    return F.coalesce(F.create_map(*pairs)[kind], F.array().cast("array<struct<label:string,reversed:string>>"))
+    one = lambda x: f"named_struct('label', {literal(x)}, 'reversed', {literal(x[::-1])})"
+    pairs = [f"{literal(k)}, array({', '.join(map(one, v))})" for k, v in table.items()]
+    return F.coalesce(F.expr(f"map({', '.join(pairs)})")[kind], F.array().cast("array<struct<label:string,reversed:string>>"))
 
 
 CONTEXT = "struct<context_role:string,context_label:string,context_score:double,context_model:string>"
@@ -87,14 +87,14 @@ LEARNED = {
 
 def learned_role(label: Column, probability: Column) -> Column:
     """The same from a trained classifier's class; null if it names none of the roles."""
-    names = F.create_map(*[F.lit(x) for role, all_of in LEARNED.items() for name in all_of for x in (name, role)])
+    names = {name: role for role, all_of in LEARNED.items() for name in all_of}
     sure = F.when(F.coalesce(probability, F.lit(0.0)) == 0, 1.0).otherwise(probability)
 
     def made(role):
         score = F.round(F.when(role == "primary", sure).otherwise(-sure), 3)
         return F.when(role.isNotNull(), F.struct(role.alias("context_role"), F.lit("").alias("context_label"), score.alias("context_score"), F.lit("learned").alias("context_model")))
 
-    return let(names[F.lower(label)], made)
+    return let(lookup(F.lower(label), names), made)
 
 
 def contexts(candidates: Column, text: Column) -> Column:

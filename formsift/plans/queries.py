@@ -426,8 +426,15 @@ def span_overlap_pairs(lines):
 SHOWN = "type value confidence source start end methods_agree".split()
 
 
+#: LINES as two types with many places in common.
+CROWDED = f"""
+SELECT doc_id, ord, CASE value WHEN 'v0' THEN 'PAN' ELSE 'NAME' END AS type, value, source, confidence, CAST(CASE WHEN ord = 5 THEN NULL ELSE start_at - 4 * ord END AS INT) AS start_at, CAST(end_at - 4 * ord AS INT) AS end_at, role, score, agree, valid
+FROM ({LINES}) AS crowd
+"""
+
+
 @query("overlap_resolve", f""", merged AS (SELECT doc_id, 0 AS grp, ord AS idx, {oracle._struct("y")} AS e FROM (SELECT doc_id, ord, type, value, confidence::DOUBLE AS confidence, source, start_at AS start, end_at AS "end", true AS validated, role, '' AS label, score::DOUBLE AS score, 'nearest_field' AS model, valid, agree FROM src) AS y),
-    {oracle.resolved()} SELECT doc_id, ord, e.type AS type, e.value AS value, e.source AS source, e.start AS start, e."end" AS "end" FROM final""", LINES)
+    {oracle.resolved()} SELECT doc_id, ord, e.type AS type, e.value AS value, e.source AS source, e.start AS start, e."end" AS "end" FROM final""", CROWDED)
 def overlap_resolve(lines):
     found = documents_of(lines).select("doc_id", reconcile.resolve_overlaps(F.col("entities")).alias("x"))
     return found.select("doc_id", F.posexplode_outer("x").alias("ord", "e")).where("ord IS NOT NULL").select("doc_id", "ord", "e.type", "e.value", "e.source", "e.start", "e.end")
