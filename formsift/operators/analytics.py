@@ -4,6 +4,7 @@ and by source with one, pre-summed on the map side."""
 from __future__ import annotations
 
 import sys
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,13 @@ def level_counts(entities: Column) -> Column:
     return F.struct(F.size(entities).cast("bigint").alias("total"), n("high"), n("medium"), n("low"))
 
 
-def document_analytics(extracted: DataFrame, key: str = "doc_id") -> DataFrame:
-    return extracted.select(key, "status", level_counts(F.col("entities")).alias("a")).select(key, "status", "a.*")
+def of_types(entities: Column, types: Sequence[str] | None) -> Column:
+    """The entities of some canonical types; of all types if none are named."""
+    return entities if types is None else F.filter(entities, lambda e: e["type"].isin(list(types)))
+
+
+def document_analytics(extracted: DataFrame, key: str = "doc_id", types: Sequence[str] | None = None) -> DataFrame:
+    return extracted.select(key, "status", level_counts(of_types(F.col("entities"), types)).alias("a")).select(key, "status", "a.*")
 
 
 def batch_analytics(extracted: DataFrame, key: str = "doc_id") -> DataFrame:

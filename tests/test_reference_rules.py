@@ -359,6 +359,28 @@ def test_order_statistics_with_infinite_values(spark, monkeypatch):
     assert str(got) == str(values) and analytics.nth_value(df, "v", len(values)) is None
 
 
+#: A token that holds a phone by its pattern, beside an e-mail; an e-mail twice; nothing.
+MIXED = [(1, 'token = "9885103314b39ed955fd8ac9" mail a.b@post.example'), (2, "x@y.example or X@y.example, 9876543210"), (3, " "), (4, None)]
+
+
+def matches_sql(spark, name, path):
+    """Whether a query gives its SQL's rows over MIXED as the table documents; its rows."""
+    import duckdb
+
+    spark.createDataFrame(MIXED, "doc_id bigint, text string").coalesce(1).write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet/*.parquet')")
+    got = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(path)).collect())
+    assert got == sorted(con.execute(queries.ORACLES[name]).fetchall())
+    return got
+
+
+def test_document_analytics_count_the_types_asked_for(spark, tmp_path):
+    mails = matches_sql(spark, "doc_analytics", tmp_path)
+    assert mails == [(1, "success", 1, 1, 0, 0), (2, "success", 1, 1, 0, 0), (3, "no_text", 0, 0, 0, 0), (4, "no_text", 0, 0, 0, 0)]
+    assert [r[2] for r in matches_sql(spark, "doc_analytics_all", tmp_path)] == [2, 2, 0, 0]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 150])
 def test_order_statistics(spark, n):
     df = spark.createDataFrame([(float(i),) for i in range(n)], "v double")
