@@ -33,9 +33,9 @@ def batch_analytics(extracted: DataFrame, key: str = "doc_id") -> DataFrame:
     return document_analytics(extracted, key).agg(F.count(F.lit(1)).alias("documents_processed"), *sums)
 
 
-def report(extracted: DataFrame, key: str = "doc_id") -> DataFrame:
+def report(extracted: DataFrame, key: str = "doc_id", types: Sequence[str] | None = None) -> DataFrame:
     """A line for each entity as a report shows it: type, value, source, percent, badge, validated."""
-    lines = extracted.select(key, F.posexplode_outer("entities").alias("ord", "e")).where("ord IS NOT NULL")
+    lines = extracted.select(key, F.posexplode_outer(of_types(F.col("entities"), types)).alias("ord", "e")).where("ord IS NOT NULL")
     return lines.select(key, "ord", "e.type", "e.value", "e.source", badge(F.col("e.confidence")).alias("b"), "e.validated").select(key, "ord", "type", "value", "source", "b.percent", "b.badge", "validated")
 
 

@@ -381,6 +381,12 @@ def test_document_analytics_count_the_types_asked_for(spark, tmp_path):
     assert [r[2] for r in matches_sql(spark, "doc_analytics_all", tmp_path)] == [2, 2, 0, 0]
 
 
+def test_report_lines_are_of_the_types_asked_for(spark, tmp_path):
+    assert matches_sql(spark, "report_lines", tmp_path) == [(1, "EMAIL", 1), (2, "EMAIL", 1)]
+    lines = [r[:4] for r in matches_sql(spark, "report_lines_all", tmp_path)]
+    assert lines == [(1, 0, "PHONE", "9885103314"), (1, 1, "EMAIL", "a.b@post.example"), (2, 0, "EMAIL", "x@y.example"), (2, 1, "PHONE", "9876543210")]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 150])
 def test_order_statistics(spark, n):
     df = spark.createDataFrame([(float(i),) for i in range(n)], "v double")
