@@ -28,9 +28,9 @@ def document_analytics(extracted: DataFrame, key: str = "doc_id", types: Sequenc
     return extracted.select(key, "status", level_counts(of_types(F.col("entities"), types)).alias("a")).select(key, "status", "a.*")
 
 
-def batch_analytics(extracted: DataFrame, key: str = "doc_id") -> DataFrame:
+def batch_analytics(extracted: DataFrame, key: str = "doc_id", types: Sequence[str] | None = None) -> DataFrame:
     sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("total", "high", "medium", "low")]
-    return document_analytics(extracted, key).agg(F.count(F.lit(1)).alias("documents_processed"), *sums)
+    return document_analytics(extracted, key, types).agg(F.count(F.lit(1)).alias("documents_processed"), *sums)
 
 
 def report(extracted: DataFrame, key: str = "doc_id", types: Sequence[str] | None = None) -> DataFrame:

@@ -387,6 +387,11 @@ def test_report_lines_are_of_the_types_asked_for(spark, tmp_path):
     assert lines == [(1, 0, "PHONE", "9885103314"), (1, 1, "EMAIL", "a.b@post.example"), (2, 0, "EMAIL", "x@y.example"), (2, 1, "PHONE", "9876543210")]
 
 
+def test_batch_analytics_sum_the_types_asked_for(spark, tmp_path):
+    assert matches_sql(spark, "batch_analytics", tmp_path) == [(4, 2, 2, 0, 0)]
+    assert matches_sql(spark, "batch_analytics_all", tmp_path) == [(4, 4, 4, 0, 0)]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 150])
 def test_order_statistics(spark, n):
     df = spark.createDataFrame([(float(i),) for i in range(n)], "v double")
