@@ -19,7 +19,9 @@ shows that words do not influence each other, else whole texts are."""
 
 from __future__ import annotations
 
+import codecs
 import json
+import re
 import struct
 from array import array
 from collections.abc import Iterator
@@ -86,22 +88,22 @@ BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 
 def splitter(path: str):
     """How texts may be cut without a change of ids, as far as the file shows; the
-    stretch of text that a cut stands for; and what cuts it further into the
+    stretch of text that a cut stands for; what cuts it further into the
     words of the library's model (or nothing, if it must go through all of the
-    library's steps)."""
+    library's steps); and whether latin_pieces does so for many at once."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
     special = [t["content"] for t in spec["added_tokens"]]
     steps = pre.get("pretokenizers", [])
     if spec["model"]["type"] != "BPE" or not all(s.startswith("<|") and not any(c.isspace() for c in s) for s in special):
-        return whole, spaced, lambda word: None
+        return whole, spaced, lambda word: None, False
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
         cut, stretch, pattern, lower, before = space_words, spaced, BYTE_LEVEL_SPLIT, False, "\u0120"
     elif [p["type"] for p in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and [n["type"] for n in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
         cut, stretch, pattern, lower, before = ascii_words, bytes, steps[0]["pattern"]["Regex"], True, ""
     else:
-        return whole, spaced, lambda word: None
+        return whole, spaced, lambda word: None, False
     split, letters = regex.compile(pattern).findall, byte_letters()
 
     def pieces_of(word: bytes) -> list[str] | None:
@@ -116,7 +118,30 @@ def splitter(path: str):
         pieces = split(normalize(text) if lower else text)
         return [p if p.isascii() and p.isalpha() else "".join(map(letters.__getitem__, p.encode())) for p in pieces]
 
-    return cut, stretch, pieces_of
+    return cut, stretch, pieces_of, lower and pattern == LATIN_SPLIT
+
+
+#: Words that are looked up together, the words of the usual split in lower-case bytes of ASCII
+#: and Latin-1 letters (a line feed stands between words), and words that hold nothing else.
+TOGETHER = 1000
+LATIN_PIECES = re.compile(rb"\n|'(?:s|t|re|ve|m|ll|d)|(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-/:-@\[-`{-~]+")
+LATIN_WORD = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+LATIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Stands between the ids of words; no id's highest byte is 255, so it is found nowhere else.
+BETWEEN = b"\xff\xff\xff\xff"
+
+
+def latin_pieces(words: list[bytes]) -> list[bytes] | None:
+    """What LATIN_SPLIT makes of words without white space, normalized, and a line
+    feed between two; nothing if some word may be long, special or in other letters.
+
+    Lower case comes from each character by itself, and such letters are composed."""
+    joined = b"\n".join(words)
+    if b"<|" in joined or max(map(len, words), default=0) > MEMO_BYTES:
+        return None
+    joined = joined.lower() if joined.isascii() else joined.decode().lower().encode()
+    pieces = LATIN_PIECES.findall(joined)
+    return pieces if sum(map(len, pieces)) == len(joined) else None
 
 
 #: Model words kept with their ids in a worker; words kept where texts are sorted beside it.
@@ -133,8 +158,9 @@ def library_memo(path: str, words: int = MEMO_WORDS, pieces: int = MEMO_PIECES)
         tokenizer = Tokenizer.from_file(tokenizer_file(path))
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        cut, stretch, pieces_of = splitter(tokenizer_file(path))
-        model, known, most = tokenizer.model, {}, {}
+        cut, stretch, pieces_of, latin = splitter(tokenizer_file(path))
+        model, known, most, letters = tokenizer.model, {}, {}, "".join(byte_letters())
+        latin = latin and tokenizer.get_vocab_size() < 0xFF000000
 
         def piece(p: str) -> bytes:
             ids = known.get(p)
@@ -144,9 +170,37 @@ def library_memo(path: str, words: int = MEMO_WORDS, pieces: int = MEMO_PIECES)
                     known[p] = ids
             return ids
 
+        def together(words: list[bytes]) -> list[bytes] | None:
+            pieces = latin_pieces(words)
+            if not pieces:
+                return None if pieces is None else []
+            ids = list(map(known.get, pieces))
+            words_known, made = _LIBRARY[path].known, {b"\n": BETWEEN}
+            for k, x in enumerate(ids):
+                if x is None:
+                    p = pieces[k]
+                    ids[k] = x = words_known.get(p) or made.get(p)
+                    if x is None:
+                        ids[k] = made[p] = array("I", [t.id for t in model.tokenize(codecs.charmap_decode(p, "strict", letters)[0])]).tobytes()
+            if len(known) < most["pieces"]:
+                if len(words_known) <= _LIBRARY[path].limit:  # whole words will be kept there
+                    for w in words:
+                        made.pop(w, None)
+                known.update(made)
+            return b"".join(ids).split(BETWEEN)
+
         def encode(words: list[bytes]) -> list[bytes]:
             out, rest = {}, []
+            for i in range(0, len(words) if latin else 0, TOGETHER):
+                part = words[i : i + TOGETHER]
+                found = together(part)
+                if found is None:
+                    part = [w for w in part if len(w) <= MEMO_BYTES and b"<|" not in w and LATIN_WORD.fullmatch(w)]
+                    found = together(part)
+                out.update(zip(part, found, strict=True))
             for w in words:
+                if w in out:
+                    continue
                 pieces = pieces_of(w)
                 if pieces is not None:
                     out[w] = b"".join(map(piece, pieces))

@@ -106,6 +106,24 @@ def test_memo_equals_the_library(name):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
+def test_words_looked_up_together_equal_the_library(monkeypatch):
+    """Whatever stands beside them in one lookup, and with tables that fill up and start anew."""
+    t = library(WORD_BPE)
+    words = ["plain", "Caps", "\u00c9t\u00e9.", "\u00e9t\u00e9,***", "e\u0301t", "stra\u00dfe", "\u1e9e", "\u212a", "\u212b", "\u0130x", "\u0178y", "\u00d7\u00f7", "it's", "x'sun", "''ll", "a.'ve", "'", "...", "4a12", "a\u00aab", "\u00b5m", "\u0416\u0443\u043a", "\u4e2d\u6587.", "<|x", "a" * 70, "\u00e9" * 40, "\x00z", "caf\u00e9\u0327", "\u03a3\u03a3"]
+    cut, stretch, pieces_of, latin = tokenfiles.splitter(vocabulary(WORD_BPE))
+    plain = [w for w in map(str.encode, words) if tokenfiles.LATIN_WORD.fullmatch(w) and len(w) <= bpe.MEMO_BYTES and b"<|" not in w]
+    shown = [bytes([{c: i for i, c in enumerate(bpe.byte_letters())}[c] for c in p]) for w in plain for p in [*pieces_of(w), "\u010a"]]
+    assert latin and len(plain) == 12 and tokenfiles.latin_pieces(plain) == shown[:-1]
+    assert tokenfiles.latin_pieces([b"ok", "\u0416".encode()]) is None is tokenfiles.latin_pieces([b"a<|b"])
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice([*words, f"w{rng.randint(0, 300)}.", "plain,"]) for _ in range(rng.randint(0, 12))) for _ in range(600)]
+    monkeypatch.setattr(tokenfiles, "TOGETHER", 7)
+    memo = tokenfiles.library_memo(vocabulary(WORD_BPE), 40, 30)
+    for i in range(0, len(texts), 9):
+        for text, ids in zip(texts[i : i + 9], memo.texts(texts[i : i + 9])):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("width", [1, 8])
 def test_planes_round_trip(width):
     rng = np.random.default_rng(1)
