@@ -198,9 +198,7 @@ def library_memo(path: str, words: int = MEMO_WORDS, pieces: int = MEMO_PIECES)
                     part = [w for w in part if len(w) <= MEMO_BYTES and b"<|" not in w and LATIN_WORD.fullmatch(w)]
                     found = together(part)
                 out.update(zip(part, found, strict=True))
-            for w in words:
-                if w in out:
-                    continue
+            for w in [w for w in words if w not in out] if latin else words:
                 pieces = pieces_of(w)
                 if pieces is not None:
                     out[w] = b"".join(map(piece, pieces))
